@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from .packing import op4_best_fit_packing
 from .token_files import op1_token_file
 
 
 def queries() -> dict:
-    return {"op1_token_file": op1_token_file}
+    return {f.__name__: f for f in (op1_token_file, op4_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

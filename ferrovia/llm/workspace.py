@@ -1,40 +1,22 @@
-"""Shared storage for intermediate tables, and small helpers all operators use."""
+"""Small helpers that the operators of this package share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..plans.storage import shared_dir, stash
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is made only where the setting is absent."""
-    sc = spark.sparkContext
-    given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not given:
-        given = "file://" + tempfile.mkdtemp(prefix="ferrovia-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(given)
-    return given.rstrip("/")
+__all__ = ["WORD", "count_words", "shared_dir", "stash", "table"]
 
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def count_words(column) -> F.Column:
+def count_words(text: Column | str) -> Column:
     """Number of words of a text; null has none."""
-    return F.coalesce(F.regexp_count(column, F.lit(WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
