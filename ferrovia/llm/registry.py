@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .packing import op4_best_fit_packing
+from .simhash import op7_simhash
 from .token_files import op1_token_file
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_file, op4_best_fit_packing)}
+    return {f.__name__: f for f in (op1_token_file, op4_best_fit_packing, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
