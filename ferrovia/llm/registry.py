@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .packing import op4_best_fit_packing
 from .simhash import op7_simhash
+from . import substring_dedup
+from .substring_dedup import op3_substring_dedup
 from .token_files import op1_token_file
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_file, op4_best_fit_packing, op7_simhash)}
+    return {f.__name__: f for f in (op1_token_file, op3_substring_dedup, op4_best_fit_packing, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_substring_dedup": substring_dedup.ORACLE}
