@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from . import licenses, substring_dedup
+from .licenses import op6_license_scan
+from .mixing import op8_mixing
 from .packing import op4_best_fit_packing
 from .simhash import op7_simhash
-from . import substring_dedup
 from .substring_dedup import op3_substring_dedup
 from .token_files import op1_token_file
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_file, op3_substring_dedup, op4_best_fit_packing, op7_simhash)}
+    found = (op1_token_file, op3_substring_dedup, op4_best_fit_packing, op6_license_scan, op7_simhash, op8_mixing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring_dedup.ORACLE}
+    return {"op3_substring_dedup": substring_dedup.ORACLE, "op6_license_scan": licenses.ORACLE}
