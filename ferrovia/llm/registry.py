@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import licenses, substring_dedup
+from .language import op9_language_id
 from .licenses import op6_license_scan
 from .mixing import op8_mixing
 from .packing import op4_best_fit_packing
@@ -12,7 +13,7 @@ from .token_files import op1_token_file
 
 
 def queries() -> dict:
-    found = (op1_token_file, op3_substring_dedup, op4_best_fit_packing, op6_license_scan, op7_simhash, op8_mixing)
+    found = (op1_token_file, op3_substring_dedup, op4_best_fit_packing, op6_license_scan, op7_simhash, op8_mixing, op9_language_id)
     return {f.__name__: f for f in found}
 
 
