@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import licenses, mtree, substring_dedup
+from .html_text import op2_html_text
 from .language import op9_language_id
 from .licenses import op6_license_scan
 from .mixing import op8_mixing
@@ -14,7 +15,7 @@ from .token_files import op1_token_file
 
 
 def queries() -> dict:
-    found = (op1_token_file, op3_substring_dedup, op4_best_fit_packing, op6_license_scan, op7_simhash, op8_mixing, op9_language_id, op10_mtree_top_k)
+    found = (op1_token_file, op2_html_text, op3_substring_dedup, op4_best_fit_packing, op6_license_scan, op7_simhash, op8_mixing, op9_language_id, op10_mtree_top_k)
     return {f.__name__: f for f in found}
 
 
