@@ -266,5 +266,10 @@ def predict(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_bits").alias("bits"), F.col("lid_rejected").alias("rejected"))
 
 
+def with_known_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that calibrated rejection leaves; models are fitted on the labels among them."""
+    return identify(docs, fit(docs)).where(~F.col("lid_rejected")).select(*docs.columns)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(table(spark, sf_dir, "documents"))

@@ -266,15 +266,16 @@ def _settle(found: DataFrame) -> DataFrame:
 
 
 def mark_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` as (doc_id, text, spans): spans (pos, n) are the n windows from word pos on that go; null if none."""
+    """``docs`` with __spans: the n windows from word pos on of each span (pos, n) go; null if none."""
     spark = docs.sparkSession
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"doc": F.coalesce("doc_id", F.lit(int(_LAST))), "tag": F.hash("text")})
-    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))), "__tag": F.hash("text")})
+    plain = keyed.select(F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), "text")
+    size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = size / 6 * 2 / (WINDOW - SHINGLE + 2)  # minimizers, at six bytes a word
     bits = max(int(log2(MIN_CELLS)), min(int(log2(MAX_CELLS)), ceil(log2(max(1, 10 * expected)))))
-    seen = spark.sparkContext.broadcast(_repeated_cells(keyed, bits))
-    spans = _settle(_candidates(keyed, seen, bits)).groupBy("doc", "tag").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    return keyed.join(spans, ["doc", "tag"], "left").select("doc_id", "text", "spans")
+    seen = spark.sparkContext.broadcast(_repeated_cells(plain, bits))
+    spans = _settle(_candidates(plain, seen, bits)).groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("pos", "n")).alias("__spans"))
+    return keyed.join(spans, ["__doc", "__tag"], "left").select(*docs.columns, "__spans")
 
 
 def keep_mask(n_words: int, spans: list | None) -> np.ndarray:
@@ -289,9 +290,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces; null if none went), kept_sha256."""
 
     def cut(batches):
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for rows in batches:
             out = []
-            for doc_id, text, spans in zip(rows.column("doc_id").to_pylist(), rows.column("text"), rows.column("spans"), strict=True):
+            for doc_id, text, spans in zip(rows.column("doc_id").to_pylist(), rows.column("text"), rows.column("__spans"), strict=True):
                 words = split_words(text.as_py())
                 n, removed = len(words), 0
                 if spans.is_valid:
@@ -300,10 +302,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     words = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
                 kept = b" ".join(words)
                 out.append((doc_id, n, removed, kept.decode() if removed else None, hashlib.sha256(kept).hexdigest()))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
-    return mark_repeats(docs).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return mark_repeats(plain).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, repeats cut out of their text; a text that loses words is what is left of them, joined by
+    single spaces, and a document that loses all its words goes."""
+    schema = docs.schema
+
+    def cut(batches):
+        for rows in batches:
+            texts, stays = rows.column("text").to_pylist(), np.ones(rows.num_rows, bool)
+            for k, spans in enumerate(rows.column("__spans")):
+                if spans.is_valid:
+                    words = split_words(texts[k])
+                    left = [w for w, keep in zip(words, keep_mask(len(words), spans.as_py()).tolist(), strict=True) if keep]
+                    texts[k], stays[k] = b" ".join(left).decode(), bool(left)
+            columns = [pa.array(texts, rows.column("text").type) if c == "text" else rows.column(c) for c in schema.names]
+            yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(stays))
+
+    return mark_repeats(docs).mapInArrow(cut, schema)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
