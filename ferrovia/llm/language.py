@@ -14,7 +14,8 @@ of each language at most, drawn by a hash of ``doc_id`` (the only bounded sample
 
 A null text, or one without a letter, is ``und`` with score 0, as is all text if no labelled row
 exists. A null ``doc_id`` counts as held out; rows may repeat. An empty table gives no
-rows. Columns other than ``doc_id``, ``text`` and ``lang`` are passed through or ignored.
+rows. Columns other than ``doc_id``, ``text`` and ``lang`` are passed through or ignored; names that begin with
+``__lid_`` are this module's.
 """
 
 from __future__ import annotations
@@ -188,11 +189,11 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
 
-_ADDED = {"lid_lang": T.StringType(), "lid_score": T.DoubleType(), "lid_bits": T.DoubleType(), "lid_rejected": T.BooleanType()}
+_ADDED = {"__lid_lang": T.StringType(), "__lid_score": T.DoubleType(), "__lid_bits": T.DoubleType(), "__lid_rejected": T.BooleanType()}
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """The columns of ``docs`` (others of these names give way) with lid_lang, lid_score, lid_bits and lid_rejected."""
+    """The columns of ``docs`` (others of these names give way) with __lid_lang, __lid_score, __lid_bits and __lid_rejected."""
     docs = docs.drop(*_ADDED)
     schema = T.StructType(docs.schema.fields + [T.StructField(k, v) for k, v in _ADDED.items()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -253,7 +254,7 @@ def fit(docs: DataFrame, order: int = ORDER, per_language: int = PER_LANGUAGE) -
     for r in counted.toLocalIterator():  # bounded by the sample
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     model = LanguageModel(counts, order)
-    limit = identify(sample, model).agg(F.percentile_approx("lid_bits", CALIBRATION, 10_000)).first()[0]
+    limit = identify(sample, model).agg(F.percentile_approx("__lid_bits", CALIBRATION, 10_000)).first()[0]
     if limit is not None:
         model.limit = limit + SLACK
     return model
@@ -263,12 +264,12 @@ def predict(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits per character and rejected of each document."""
     model = fit(docs)
     found = identify(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return found.select("doc_id", held_out().alias("held_out"), F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"), F.col("lid_bits").alias("bits"), F.col("lid_rejected").alias("rejected"))
+    return found.select("doc_id", held_out().alias("held_out"), F.col("__lid_lang").alias("lang_pred"), F.col("__lid_score").alias("score"), F.col("__lid_bits").alias("bits"), F.col("__lid_rejected").alias("rejected"))
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that calibrated rejection leaves; models are fitted on the labels among them."""
-    return identify(docs, fit(docs)).where(~F.col("lid_rejected")).select(*docs.columns)
+    return identify(docs, fit(docs)).where(~F.col("__lid_rejected")).select(*docs.columns)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

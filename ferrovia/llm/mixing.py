@@ -27,6 +27,8 @@ from .workspace import count_words, stash, table
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents of a group at the leaves of the tree, and groups that meet in one above.
 LEAF, FAN_IN = 2048, 64
+#: Documents of a group that are paired with all smaller ones.
+LONGEST = 64
 _TINY = 1e-9
 
 _STATE = "doc_id long, tag long, source string, size long, whole long, share double, bucket long, extra int"
@@ -70,24 +72,46 @@ def _open(share: float) -> bool:
     return _TINY < share < 1 - _TINY
 
 
+def _against_all(held: int, rest: np.ndarray, size: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> None:
+    """Move words between one document and the open ones of ``rest`` as a whole, until one side is settled."""
+    rest = rest[(share[rest] > _TINY) & (share[rest] < 1 - _TINY)]
+    a, p, b, x = size[rest], share[rest], float(size[held]), float(share[held])
+    up, down = min(b * (1 - x), float((a * p).sum())), min(b * x, float((a * (1 - p)).sum()))
+    if up + down <= 0:
+        return
+    if rng.random() * (up + down) < down:
+        share[held], share[rest] = x + up / b, p * (1 - up / (a * p).sum())
+    else:
+        share[held], share[rest] = x - down / b, p + (1 - p) * (down / (a * (1 - p)).sum())
+
+
 def round_group(size: np.ndarray, share: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
     """0 or 1 for each document, -1 for the one still undecided, if any; ``share`` is changed.
 
-    At the top of the tree nothing stays undecided: the larger half is rounded first, a draw
-    settles its last document, and the smaller half makes up for what that draw added or took.
+    The ``LONGEST`` documents are paired with all smaller ones as a whole; of the others the larger half
+    is rounded first and its last document against the smaller half. So what is undecided in the
+    end is small, or there was too little besides it. At the top of the tree (``last``) a draw
+    settles that one.
     """
-    out = np.full(len(size), -1)
-    if not last:
-        _chain(list(range(len(size))), size, share, out, rng)
-        return out
-    rest = np.argsort(-size, kind="stable")
-    while rest.size:
+    out, rest, held = np.full(len(size), -1), np.argsort(-size, kind="stable"), -1
+    for _ in range(min(LONGEST, rest.size)):
+        first, rest = int(rest[0]), rest[1:]
+        if _open(share[first]):
+            _against_all(first, rest, size, share, rng)
+        if _open(share[first]):
+            held = first
+            break
+        out[first] = int(share[first] > 0.5)
+    while rest.size and held < 0:
         head, rest = rest[: (rest.size + 1) // 2], rest[(rest.size + 1) // 2 :]
-        if (held := _chain(head.tolist(), size, share, out, rng)) >= 0:
-            out[held] = int(rng.random() < share[held])
-            missing, held_by = size[held] * (share[held] - out[held]), size[rest] * ((share[rest] > _TINY) & (share[rest] < 1 - _TINY))
-            if held_by.sum() > 0:
-                share[rest] = np.where(held_by > 0, np.clip(share[rest] + missing / held_by.sum(), 0, 1), share[rest])
+        if (held := _chain(head.tolist(), size, share, out, rng)) >= 0 and rest.size:
+            _against_all(held, rest, size, share, rng)
+            if not _open(share[held]):
+                out[held], held = int(share[held] > 0.5), -1
+    for k in rest.tolist():  # none of them is open
+        out[k] = int(share[k] > 0.5)
+    if held >= 0 and last:
+        out[held] = int(rng.random() < share[held])
     return out
 
 

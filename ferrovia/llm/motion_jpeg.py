@@ -252,6 +252,7 @@ def _decoded(avi: bytes):
         yield decode_frames([avi[a : a + n] for a, n in places[k : k + STEP]])
 
 
+_CLIP_TYPES = (("doc_id", pa.int64()), ("clip", pa.int32()), ("first_frame", pa.int64()), ("frames", pa.int64()), ("start_s", pa.float64()), ("end_s", pa.float64()))
 _CLIPS = "doc_id long, clip int, first_frame long, frames long, start_s double, end_s double"
 
 
@@ -266,7 +267,8 @@ def clips(media: DataFrame) -> DataFrame:
                 places, rate = index_avi(avi)
                 cuts = find_cuts(np.concatenate([histograms(s) for s in _decoded(avi)]))
                 rows += [(doc_id, k, a, b - a, a / rate, b / rate) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(places)], strict=True))]
-            yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "clip", "first_frame", "frames", "start_s", "end_s"), r, strict=True)) for r in rows])
+            columns = zip(zip(*rows, strict=True), _CLIP_TYPES, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in columns], [n for n, _ in _CLIP_TYPES])
 
     return media.mapInArrow(run, _CLIPS)
 

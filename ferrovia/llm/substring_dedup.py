@@ -36,8 +36,9 @@ from .workspace import table
 
 WINDOW, SHINGLE = 50, 25
 ROWS, BLOCK_BITS, MIN_CELLS, MAX_CELLS = 2, 20, 1 << 20, 1 << 29
-#: Candidate windows that a map task holds before it settles them; partial sketches merged at a time.
-HELD, FAN_IN = 1 << 21, 64
+#: Candidate windows that a map task holds before it settles them; partial sketches merged at a time;
+#: windows of a text that are hashed at a time.
+HELD, FAN_IN, SEGMENT = 1 << 21, 64, 1 << 18
 
 _LAST = np.iinfo(np.int64).max  # in place of a null doc_id
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
@@ -73,7 +74,7 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 class Windows:
-    """Hashes of all windows of a text of at least ``WINDOW`` words."""
+    """Hashes of all windows of at least ``WINDOW`` words."""
 
     def __init__(self, words: list[bytes]):
         import xxhash
@@ -100,6 +101,12 @@ class Windows:
         return self._rolled(0, WINDOW, at), self._rolled(1, WINDOW, at)
 
 
+def segments(words: list[bytes]):
+    """(first window, hashes) of pieces of a text that share no window and together have all."""
+    for at in range(0, len(words) - WINDOW + 1, SEGMENT):
+        yield at, Windows(words[at : at + SEGMENT + WINDOW - 1])
+
+
 def _cells(minimizers: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (minimizers * _ROW_MULTIPLIERS[row]) >> np.uint64(64 - bits)
 
@@ -152,7 +159,7 @@ def partition_sketches(docs: DataFrame, bits: int) -> DataFrame:
         for texts in batches:
             for text in texts.column("text"):
                 if len(words := split_words(text.as_py())) >= WINDOW:
-                    held.append(np.unique(Windows(words).minimizers()))
+                    held.append(np.unique(np.concatenate([np.unique(w.minimizers()) for _, w in segments(words)])))
                     size += len(held[-1])
                     if size > 4 * HELD:
                         yield batch()
@@ -230,17 +237,17 @@ def _candidates(docs: DataFrame, seen, bits: int) -> DataFrame:
             for doc, tag, text in zip(rows.column("doc").to_pylist(), rows.column("tag").to_pylist(), rows.column("text"), strict=True):
                 if len(words := split_words(text.as_py())) < WINDOW:
                     continue
-                windows = Windows(words)
-                low = windows.minimizers()
-                hit = np.arange(len(low))
-                for row in range(ROWS):
-                    cell = _cells(low[hit], row, bits)
-                    hit = hit[(sketch[row][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if hit.size:
-                    held.append((*windows.hashes(hit), np.full(len(hit), doc), np.full(len(hit), tag, np.int32), hit.astype(np.int32)))
-                    size += len(hit)
-                    if size >= HELD:
-                        yield batch()
+                for at, windows in segments(words):
+                    low = windows.minimizers()
+                    hit = np.arange(len(low))
+                    for row in range(ROWS):
+                        cell = _cells(low[hit], row, bits)
+                        hit = hit[(sketch[row][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                    if hit.size:
+                        held.append((*windows.hashes(hit), np.full(len(hit), doc), np.full(len(hit), tag, np.int32), (hit + at).astype(np.int32)))
+                        size += len(hit)
+                        if size >= HELD:
+                            yield batch()
         if held:
             yield batch()
 
