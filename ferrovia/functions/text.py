@@ -42,3 +42,8 @@ def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """Similarity from 0 to 100 of two names whatever the order of their words."""
     return _indel(sorted_tokens(a), sorted_tokens(b))
+
+
+def shorten(text: Column, width: int = 43) -> Column:
+    """The first ``width`` characters, with three dots after them if there were more."""
+    return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text)

@@ -76,3 +76,9 @@ def stationary_flow(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, t
     if way is _distributed and not found.first()["converged"]:
         warnings.warn(f"the walk did not converge in {max_iter} iterations", stacklevel=2)
     return found
+
+
+def distribution_check(found: DataFrame, column: str = "L_i_flujo", tol: float = 1e-6) -> DataFrame:
+    """One row (name, ok, n_bad, detail): shares are not negative and sum to 1."""
+    sums = found.agg(F.sum(column).alias("total"), F.count_if(F.col(column) < 0).alias("n_bad"))
+    return sums.select(F.lit("shares sum to 1").alias("name"), ((F.abs(F.col("total") - 1) < tol) & (F.col("n_bad") == 0)).alias("ok"), "n_bad", F.col("total").cast("string").alias("detail"))

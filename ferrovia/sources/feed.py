@@ -119,3 +119,11 @@ def write_csv(df: DataFrame, path: str, *order: str, descending: bool = False) -
         first = F.col(order[0])
         flat = flat.orderBy(first.desc() if descending else first, *order[1:])
     flat.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_geojson(markers: DataFrame, path: str) -> None:
+    """Map markers as GeoJSON features, one to a line; every column but the coordinates is a property."""
+    rest = [c for c in markers.columns if c not in ("lat", "lon")]
+    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*rest).alias("properties"))
+    markers.select(F.to_json(feature).alias("value")).coalesce(1).write.mode("overwrite").text(path)
