@@ -84,13 +84,14 @@ def _by_levels(arcs: DataFrame, roots: DataFrame) -> DataFrame:
 def betweenness(edges: DataFrame, nodes: DataFrame, k: int | None = 100, seed: int = 0, in_memory_arcs: int = IN_MEMORY_ARCS) -> DataFrame:
     """(node_id, L_i_topo): unweighted directed betweenness over service edges, as a share of the (n-1)(n-2) pairs, scaled by n/k for ``k`` pivots."""
     arcs = stash(service_arcs(edges), "arcs")
-    n = nodes.select("node_id").distinct().count()
-    roots = stash(pivots(nodes, k if k is not None and k < n else None, seed), "pivots")
+    ids = stash(nodes.select("node_id").distinct(), "nodes")  # read again and again
+    n = ids.count()
+    roots = stash(pivots(ids, k if k is not None and k < n else None, seed), "pivots")
     used = roots.count()
     shares = _in_memory(arcs, roots) if arcs.count() <= in_memory_arcs else _by_levels(arcs, roots)
     scale = (n / used if used else 0.0) / ((n - 1) * (n - 2)) if n > 2 else 0.0
     summed = shares.groupBy("node_id").agg(F.sum("x").alias("x"))
-    return nodes.select("node_id").distinct().join(summed, "node_id", "left").select("node_id", (F.coalesce("x", F.lit(0.0)) * scale).alias("L_i_topo"))
+    return ids.join(summed, "node_id", "left").select("node_id", (F.coalesce("x", F.lit(0.0)) * scale).alias("L_i_topo"))
 
 
 def node_components(edges: DataFrame, nodes: DataFrame, service_only: bool = False) -> DataFrame:

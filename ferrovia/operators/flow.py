@@ -71,8 +71,9 @@ def stationary_flow(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, t
     join and an aggregation, written every few rounds. Warns if it doesn't converge.
     """
     probs = stash(transition_probs(edges, beta), "transitions")
-    way = _in_one_task if probs.count() <= one_task and nodes.count() <= one_task else _distributed
-    found = way(nodes.select("node_id").distinct(), probs, damping, tol, max_iter)
+    ids = stash(nodes.select("node_id").distinct(), "nodes")  # read again and again
+    way = _in_one_task if probs.count() <= one_task and ids.count() <= one_task else _distributed
+    found = way(ids, probs, damping, tol, max_iter)
     if way is _distributed and not found.first()["converged"]:
         warnings.warn(f"the walk did not converge in {max_iter} iterations", stacklevel=2)
     return found
