@@ -4,7 +4,7 @@ A page is read as a sequence of words and tags. Words score above zero and tags
 weights from labelled pages: those whose author marked the text by ``article`` or ``main``. How
 much likelier a tag, or a word in or out of a link, is inside the marked part than outside sets its
 weight. One linear scan finds the contiguous region of the highest sum. The region is then widened
-to the element that holds it (never the whole body), and what a page puts inside an article
+to the element that holds it (in a bare body to the like elements beside it), and what a page puts inside an article
 without being part of it is left out: elements that are, or are named as, menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, scripts or styles. Their words score nothing.
 
@@ -43,8 +43,9 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
 _APART = frozenset("nav header footer aside form fieldset dialog menu head".split())
 _HOLDERS = frozenset("article main section div td".split())
 _MARKED = frozenset(("article", "main"))
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 #: Parts of a class, id or role by which pages name what isn't the article.
-_NAMED_APART = frozenset("nav navbar navigation menu menus header masthead footer sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login form search comment comments disqus replies share sharing social related recommended breadcrumb breadcrumbs pagination pager widget copyright toolbar contentinfo complementary".split())
+_NAMED_APART = frozenset("nav navbar navigation menu menus header masthead footer sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login form search comment comments disqus replies respond alert gdpr share sharing social related recommended breadcrumb breadcrumbs pagination pager widget copyright toolbar contentinfo complementary".split())
 #: An open element of the first kind ends where one of the second starts.
 _ENDED_BY = {"p": _BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
@@ -191,6 +192,10 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     marked = [e for e in holders if elements[e] in _MARKED]
     if holder := marked[-1:] or holders[-1:]:
         region = [b for b in blocks if holder[0] in b.path and not b.apart]
+    else:  # the body itself: what stands beside the region in like elements belongs to it
+        above = region[0].path[:common]
+        kinds = _TEXT | {elements[b.path[common]] for b in region if len(b.path) > common}
+        region = [b for b in blocks if not b.apart and b.path[:common] == above and (len(b.path) == common or elements[b.path[common]] in kinds)]
     return "\n\n".join(b.text for b in region)
 
 

@@ -40,6 +40,7 @@ def test_words_score_above_zero_and_tags_below(weights):
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a\n\nb\n\nc\n\nd"),
         ("<article><p>x <a href='>'>y</a> z</p><textarea>no</textarea></article>", "x y z"),
         ("<article><p>&lt;p&gt; 1 < 2</p></article>", "<p> 1 < 2"),
+        ("<body><nav>menu</nav><h1>T</h1><p>" + "w " * 30 + "</p><p>Wh.</p><div class='page-footer'>no</div><footer>no</footer></body>", "T\n\n" + " ".join(["w"] * 30) + "\n\nWh."),
         ("<div class=cookie-notice>no</div><div id=content><p>" + "w " * 40 + "</p><p>v</p></div><div class=footer>no</div>", " ".join(["w"] * 40) + "\n\nv"),
     ],
 )
