@@ -420,3 +420,39 @@ def scalar_functions(spark, sf_dir):
     clock = F.concat((F.col("stop_ordinal") + 20).cast("string"), F.lit(":"), F.lpad((F.col("stop_ordinal") % 60).cast("string"), 2, "0"), F.lit(":05"))
     away = haversine_m(F.col("stop_lat"), F.col("stop_lon"), F.lit(19.4), F.lit(-99.1))
     return stops.select("stop_id", F.round(away, 3).alias("to_center_m"), seconds_of_day(clock).alias("seconds"))
+
+
+@_query("blocking_checks", " UNION ALL ".join(f"SELECT * FROM (WITH {_CHECKS[n][1][2:]})" for n in ("v01_orphan_stops", "v02_orphan_routes", "v03_orphan_services", "v04_orphan_frequency_trips", "v06_stop_sequence", "v07_positive_headways")))
+def blocking_checks(spark, sf_dir):
+    return checks.run_checks(sample_feed(spark, sf_dir, dirty=True))
+
+
+@_query("v18_flow_distribution", "SELECT 'shares sum to 1' AS name, true AS ok, CAST(0 AS BIGINT) AS n_bad")
+def v18(spark, sf_dir):
+    return flow.distribution_check(flow_load(spark, sf_dir)).drop("detail")
+
+
+@_query("pruned_feed", ", kept AS (SELECT trip_id FROM trips WHERE route_id IN (SELECT route_id FROM dirty_routes) AND service_id IN (SELECT service_id FROM calendar)) SELECT trip_id, stop_id, stop_sequence FROM dirty_times WHERE trip_id IN (SELECT trip_id FROM kept)")
+def pruned_feed(spark, sf_dir):
+    return sample_feed(spark, sf_dir, dirty=True).pruned().stop_times.select("trip_id", "stop_id", "stop_sequence")
+
+
+@_query("transition_probs_biased", ", w AS (SELECT source AS src, target AS dst, pow(sum(3600.0 / headway_secs), 0.5) AS w FROM edges WHERE edge_type = 'servicio' GROUP BY ALL) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS p FROM w")
+def transition_probs_biased(spark, sf_dir):
+    return _rounded(flow.transition_probs(_graph(spark, sf_dir)[1], beta=0.5), "p")
+
+
+@_query("service_components", _WEAK.replace("FROM edges", "FROM edges WHERE edge_type = 'servicio'") + " SELECT node_id, component FROM heads")
+def service_components(spark, sf_dir):
+    nodes_, edges = _graph(spark, sf_dir)
+    return centrality.node_components(edges, nodes_, service_only=True)
+
+
+@_query("spot_check", _CAPACITY + ", r AS (SELECT *, rank() OVER (ORDER BY C_i DESC) AS rank FROM capacity) SELECT v.n AS node_id, C_i, rank FROM (VALUES ('station_0_0|AUTOMOBILE'), ('station_7_0|FURNITURE'), ('nowhere')) v(n) LEFT JOIN r ON r.node_id = v.n")
+def spot_check(spark, sf_dir):
+    return stats.rank_of(node_capacity(spark, sf_dir), "C_i", ["station_0_0|AUTOMOBILE", "station_7_0|FURNITURE", "nowhere"])
+
+
+@_query("degree_stats", _DEGREES + " SELECT min(grado_servicio) FILTER (grado_servicio > 0) AS min, max(grado_servicio) AS max, round(avg(grado_servicio), 6) AS mean, count(*) FILTER (grado_servicio > 0) AS n_positive, count(*) AS n FROM node_degrees")
+def degree_stats(spark, sf_dir):
+    return _rounded(stats.column_stats(stats.node_degrees(*_graph(spark, sf_dir)), "grado_servicio", positive_min=True), "mean")
