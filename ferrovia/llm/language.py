@@ -20,6 +20,7 @@ rows. Columns other than ``doc_id``, ``text`` and ``lang`` are passed through or
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -33,8 +34,8 @@ from .workspace import table
 
 ORDER, PER_LANGUAGE, CALIBRATION, SLACK = 4, 2000, 0.999, 1.5
 START, STOP = "\x02", "\x03"
-#: Words a worker remembers, and bytes of text that it splits at a time.
-MAX_WORDS, SLICE_BYTES = 400_000, 8 << 20
+#: Words a worker remembers, words that it scores and bytes of text that it splits at a time. They bound its memory.
+MAX_WORDS, SCORED, SLICE_BYTES = 300_000, 1 << 14, 4 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,7 +121,7 @@ class LanguageModel:
     """The character models of all languages, and the limit of their cross-entropy."""
 
     def __init__(self, counts: dict[str, dict[str, int]], order: int = ORDER):
-        self.order, self.limit = order, float("inf")
+        self.order, self.limit, self.name = order, float("inf"), uuid.uuid4().hex
         self.languages = sorted(counts)
         alphabet = len({c for g in counts.values() for x in g for c in x}) + 1
         self.models = [CharacterModel(counts[x], order, alphabet) for x in self.languages]
@@ -158,7 +159,8 @@ class _Scorer:
         if None in n:
             new = [w for w, k in zip(words, n, strict=True) if k is None]
             plain = [letters(w) for w in new]
-            score, size = self.model.score_words(plain)
+            parts = [self.model.score_words(plain[k : k + SCORED]) for k in range(0, len(plain), SCORED)]
+            score, size = (np.concatenate(x) for x in zip(*parts, strict=True))
             score[size == 0] = 0
             at = len(self.size)
             self.score, self.size = np.concatenate([self.score, score]), np.concatenate([self.size, size])
@@ -185,6 +187,17 @@ class _Scorer:
         return bits, chars
 
 
+_SCORERS: dict[str, _Scorer] = {}
+
+
+def _scorer(model: LanguageModel) -> _Scorer:
+    """One for each Python worker, of the model it met last."""
+    if model.name not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[model.name] = _Scorer(model)
+    return _SCORERS[model.name]
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
@@ -200,7 +213,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        scorer, names = _Scorer(model), np.array([*model.languages, "und"], object)
+        scorer, names = _scorer(model), np.array([*model.languages, "und"], object)
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
             size, start = np.cumsum(pc.binary_length(texts).to_numpy()) if len(texts) else np.zeros(0), 0

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 END_ID = 2
 #: Chunks a worker remembers, bytes of text it splits at a time, characters of a text it encodes
 #: whole, and chunks it turns into ids at a time. They bound its memory.
-MAX_CHUNKS, SLICE_BYTES, PART_CHARS, STEP = 500_000, 8 << 20, 1_000_000, 1 << 19
+MAX_CHUNKS, SLICE_BYTES, PART_CHARS, STEP = 400_000, 4 << 20, 1_000_000, 1 << 18
 
 #: Marks put before the first chunk of a text, a chunk after a line feed, and the end of a text.
 FIRST, LINE, END = "\1", "\0", "\2"
@@ -49,6 +49,9 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.end_id, self.letters = end_id, _byte_letters()
+        self.space, self.line = self.letters[32], self.letters[10]
+        self.bpe = self.tok.model.tokenize
+        self.numbers = list(range(self.tok.get_vocab_size()))  # one object for each id
         self._forget()
 
     def _forget(self) -> None:
@@ -56,10 +59,10 @@ class ChunkEncoder:
         self.first, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _piece(self, piece: str) -> list[int]:
-        if (ids := self.pieces.get(piece)) is None:
-            spelt = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = [t.id for t in self.tok.model.tokenize(spelt)]
+    def _piece(self, spelt: str) -> list[int]:
+        """Ids of a piece of the pre-tokenizer, spelt byte by byte."""
+        if (ids := self.pieces.get(spelt)) is None:
+            ids = self.pieces[spelt] = [self.numbers[t.id] for t in self.bpe(spelt)]
         return ids
 
     def _chunk(self, chunk: str) -> list[int] | None:
@@ -68,15 +71,18 @@ class ChunkEncoder:
             return [self.end_id]
         if chunk[:1] == FIRST:
             return self.tok.encode(chunk[1:], add_special_tokens=False).ids
-        before, body = ("\n", chunk[1:]) if chunk[:1] == LINE else (" ", chunk)
+        line = chunk[:1] == LINE
+        body = chunk[1:] if line else chunk
         if not body or body[-1].isspace():
             return None
-        if body.isascii() or max(body) < _LATIN:
+        plain = body.isascii()
+        if plain or max(body) < _LATIN:
             head = body.rstrip(string.punctuation)
             if head.isalpha():
-                ids = self._piece(" " + head) if before == " " else self._piece("\n") + self._piece(head)
+                spelt = head if plain else head.encode().decode("latin-1").translate(self.letters)
+                ids = self._piece(self.line) + self._piece(spelt) if line else self._piece(self.space + spelt)
                 return ids + self._piece(body[len(head) :]) if len(head) < len(body) else ids
-        return self.tok.encode(before + body, add_special_tokens=False).ids
+        return self.tok.encode(("\n" if line else " ") + body, add_special_tokens=False).ids
 
     def _learn(self, fresh: list[str]) -> None:
         ids = [self._chunk(c) for c in fresh]
