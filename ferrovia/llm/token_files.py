@@ -63,8 +63,9 @@ def write_token_pages(docs: DataFrame, tokenizer: str, end_id: int = END_ID) ->
 def read_token_pages(pages: DataFrame) -> DataFrame:
     """One row for each document of the file: doc_id, start, n_tokens, ids_crc32."""
     total = pages.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    # a row for each shard: as many as shuffle partitions
     before = total.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    placed = pages.join(before, "shard").select((F.col("shard_start") + F.col("first")).alias("start"), "payload")
+    placed = pages.join(F.broadcast(before), "shard").select((F.col("shard_start") + F.col("first")).alias("start"), "payload")
 
     def decode(batches):
         for batch in batches:
