@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 END_ID = 2
 #: Chunks a worker remembers, bytes of text it splits at a time, characters of a text it encodes
 #: whole, and chunks it turns into ids at a time. They bound its memory.
-MAX_CHUNKS, SLICE_BYTES, PART_CHARS, STEP = 400_000, 4 << 20, 1_000_000, 1 << 18
+MAX_CHUNKS, SLICE_BYTES, PART_CHARS, STEP = 400_000, 8 << 20, 1_000_000, 1 << 18
 
 #: Marks put before the first chunk of a text, a chunk after a line feed, and the end of a text.
 FIRST, LINE, END = "\1", "\0", "\2"
