@@ -1,7 +1,7 @@
 """The corpus pipeline: STAGES in order, each reading what the one before it kept.
 
-Language identification drops what it rejects, SimHash leaves one document of each near-duplicate
-group, substring removal cuts passages that an earlier document has, mixing takes each source's
+Language identification drops what it rejects, of each group of near copies (five-word similarity
+0.8 or more) one document stays, substring removal cuts passages that an earlier document has, mixing takes each source's
 documents as often as its target weight asks, and packing lays the pieces of what was taken into
 sequences. All but the last return the columns of their input.
 """
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ferrovia.llm.language import with_known_language
 from ferrovia.llm.mixing import mix
+from ferrovia.llm.near_copies import without_near_copies
 from ferrovia.llm.packing import pack
-from ferrovia.llm.simhash import without_near_duplicates
 from ferrovia.llm.substring_dedup import without_repeats
 from ferrovia.llm.workspace import stash, table
 
@@ -24,7 +24,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_near_duplicates(docs)
+    return without_near_copies(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ferrovia.llm import simhash, substring_dedup
+from ferrovia.llm import near_copies, simhash, substring_dedup
 
 DOCS = "doc_id long, text string, tag string, spans string, fp string"
 
@@ -157,3 +157,36 @@ def test_components_of_documents(spark):
     kept = simhash.without_near_duplicates(frame(spark, rows))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 3, 4, None]
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def five_words(text):
+    w = words_of(text.lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+@pytest.mark.parametrize("block", [1 << 18, 300])
+def test_near_copies_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = random.Random(5)
+    line = " ".join(f"line{k}" for k in range(9))
+    base = [[f"w{rng.randrange(900)}" for _ in range(rng.choice([3, 6, 30, 80, 140]))] for _ in range(12)]
+    texts = [" ".join(x) for x in base]
+    for _ in range(120):
+        w = list(rng.choice(base))
+        for _ in range(rng.randrange(6)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(900)}"
+        texts.append(" ".join(w) + (f" {line}" if rng.random() < 0.4 else ""))
+    sets = [five_words(t) for t in texts]
+    root = list(range(len(texts)))
+    far = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                far += bin(simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).count("1") > 4
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert far > 20  # links that the distance of operator 7 doesn't have
+    kept = near_copies.without_near_copies(frame(spark, list(enumerate(texts))).repartition(3))
+    assert kept.columns == ["doc_id", "text", "tag", "spans", "fp"]
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    assert near_copies.without_near_copies(frame(spark, [])).count() == 0
