@@ -197,13 +197,14 @@ def links(sets: DataFrame, family: DataFrame) -> DataFrame:
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its component; rows with a null ``doc_id`` stay."""
+    """One row of ``docs`` for each component: of the smallest ``doc_id``, nulls last; of equal ones, by a hash of the row."""
     rows = stash(keyed(docs).withColumn("__row", F.monotonically_increasing_id()), "keyed")
     sets = candidates(rows)
     joined = connected_components(links(sets, families(sets)))
-    root = F.coalesce("component", "__key")
-    labelled = rows.select("__row", "__key", F.col("doc_id").cast("long").alias("id")).join(joined, F.col("__key") == F.col("node"), "left").select("__row", "id", root.alias("root"))
+    hashed = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), hashed.alias("hash"), F.col("__row").alias("row"))
+    labelled = rows.select("__key", place.alias("place")).join(joined, F.col("__key") == F.col("node"), "left").select("place", F.coalesce("component", "__key").alias("root"))
     labelled = stash(labelled, "labelled")
-    least = labelled.groupBy("root").agg(F.min("id").alias("least"))
-    gone = stash(labelled.join(least, "root").where("least < id").select(F.col("id").alias("__gone")).distinct(), "gone")
-    return rows.join(_listed(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(docs.columns)
+    least = labelled.groupBy("root").agg(F.min("place").alias("least"))
+    gone = stash(labelled.join(least, "root").where("place.row <> least.row").select(F.col("place.row").alias("__row")), "gone")
+    return rows.join(_listed(gone), "__row", "left_anti").select(docs.columns)

@@ -190,3 +190,10 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, block):
     assert kept.columns == ["doc_id", "text", "tag", "spans", "fp"]
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
     assert near_copies.without_near_copies(frame(spark, [])).count() == 0
+
+
+def test_near_copies_go_by_row(spark):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyz")
+    rows = [(1, x), (1, y), (0, x), (0, x), (0, x.upper()), (None, x), (None, z), (None, z), (3, None), (None, "")]
+    kept = near_copies.without_near_copies(frame(spark, rows).repartition(3)).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept), key=str) == sorted([(0, x), (1, y), (3, ""), (None, z)], key=str)
