@@ -50,6 +50,10 @@ _NAMED_APART = frozenset("nav navbar navigation menu menus header masthead foote
 _ENDED_BY = {"p": _BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
+#: Names with one of these (has-sidebar, no-header) tell of a page's layout, not of a part.
+_LAYOUT = frozenset("has no with without".split())
+
+
 class _Block:
     __slots__ = ("text", "words", "path", "apart", "at", "linked")
 
@@ -60,12 +64,35 @@ class _Block:
 def _named_apart(tag: str, attributes: str) -> bool:
     if tag in ("html", "body", "main", "article") or "=" not in attributes:
         return False
-    return any(p.lower() in _NAMED_APART for m in _NAMES.finditer(attributes) for p in _PARTS.findall(m[1] or m[2] or m[3] or ""))
+    for m in _NAMES.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [p.lower() for p in _PARTS.findall(name)]
+            if not _LAYOUT.intersection(parts) and any(p in _NAMED_APART for p in parts):
+                return True
+    return False
+
+
+def _spare_wrappers(blocks: list[_Block], elements: list[str], named: set[int], tagged: set[int]) -> None:
+    """An element outside article and main isn't apart by its name if it holds most of their words; without such, if nothing else holds words."""
+    free = [b for b in blocks if tagged.isdisjoint(b.path)]
+    outer = lambda b: next((e for e in b.path if elements[e] in _MARKED), None)
+    marked = [b for b in free if outer(b) is not None]
+    if not named or not marked and not all(b.apart for b in free):
+        return
+    held: Counter = Counter()
+    for b in marked or free:
+        limit = outer(b)
+        held.update({e: b.words for e in b.path if e in named and (limit is None or e < limit)})
+    total = sum(b.words for b in marked or free)
+    kept = named - {e for e, n in held.items() if 2 * n > total}
+    for b in free:
+        b.apart = not kept.isdisjoint(b.path)
 
 
 def read_page(page: str) -> tuple[list[_Block], list[tuple[int, str]], list[str]]:
     """Blocks; (place, tag) of all tags; tag of each element. A block's path numbers its elements."""
     blocks, tags, elements = [], [], []
+    named, tagged = set(), set()
     stack: list[tuple[int, str, bool]] = []  # (element, tag, apart)
     held: list[str] = []
     linked = place = 0
@@ -124,10 +151,15 @@ def read_page(page: str) -> tuple[list[_Block], list[tuple[int, str]], list[str]
             flush()
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS:
             continue
-        apart = bool(stack and stack[-1][2]) or tag in _APART or _named_apart(tag, attributes)
+        if tag in _APART:
+            tagged.add(len(elements))
+        elif _named_apart(tag, attributes):
+            named.add(len(elements))
+        apart = bool(stack and stack[-1][2]) or len(elements) in tagged or len(elements) in named
         elements.append(tag)
         stack.append((len(elements) - 1, tag, apart))
     flush()
+    _spare_wrappers(blocks, elements, named, tagged)
     return blocks, tags, elements
 
 

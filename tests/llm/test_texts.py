@@ -195,3 +195,11 @@ def test_probabilities_sum_to_one():
             keys = language._keys(np.array([ord(x) for x in before + c], np.uint64), 3)
             total += 2.0 ** model.log2(keys)[-1]
         assert total == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content has-sidebar'", "div id='page' class='no-sidebar'", "div class='search-layout'", "div class=widget"])
+def test_wrappers_named_like_menus(weights, wrapper):
+    text = "w " * 30
+    inner = f"<p>{text}</p><section id=comments><article><p>no no</p></article></section>"
+    assert html_text.extract(f"<body><nav>menu</nav><{wrapper}><article>{inner}</article><div class=sidebar>no</div></div></body>", weights) == text.strip()
+    assert html_text.extract(f"<body><nav>menu</nav><{wrapper}><p>{text}</p></div></body>", weights) == text.strip()
