@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import table
+from .workspace import kept, table
 
 ORDER, PER_LANGUAGE, CALIBRATION, SLACK = 4, 2000, 0.999, 1.5
 START, STOP = "\x02", "\x03"
@@ -187,17 +187,6 @@ class _Scorer:
         return bits, chars
 
 
-_SCORERS: dict[str, _Scorer] = {}
-
-
-def _scorer(model: LanguageModel) -> _Scorer:
-    """One for each Python worker, of the model it met last."""
-    if model.name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[model.name] = _Scorer(model)
-    return _SCORERS[model.name]
-
-
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(True))
 
@@ -213,7 +202,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         model = shared.value
-        scorer, names = _scorer(model), np.array([*model.languages, "und"], object)
+        scorer, names = kept(("scorer", model.name), lambda: _Scorer(model)), np.array([*model.languages, "und"], object)
         for batch in batches:
             texts = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
             size, start = np.cumsum(pc.binary_length(texts).to_numpy()) if len(texts) else np.zeros(0), 0

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import table
+from .workspace import kept, table
 
 WINDOW, SHINGLE = 50, 25
 ROWS, BLOCK_BITS, MIN_CELLS, MAX_CELLS = 2, 20, 1 << 20, 1 << 29
@@ -66,9 +66,6 @@ class _Powers:
         return self.up[:, :n], self.down[:, :n]
 
 
-_POWERS = _Powers()
-
-
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()  # of bytes: at the six ASCII spaces alone
 
@@ -81,7 +78,7 @@ class Windows:
 
         h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         self.n = len(words) - WINDOW + 1
-        up, self.down = _POWERS.of(len(words))
+        up, self.down = kept("powers", _Powers).of(len(words))
         self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * p)]) for x, p in ((h, up[0]), (_mix(h), up[1]))]
 
     def _rolled(self, k: int, size: int, at: np.ndarray | slice) -> np.ndarray:

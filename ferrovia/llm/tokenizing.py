@@ -3,7 +3,8 @@
 A text is cut before every single space and line feed. The pre-tokenizer of the file never
 joins characters across such a cut as long as no white space stands next to it, so the ids of
 a text are those of its chunks in turn, and a chunk is encoded once for each worker. Texts
-with runs of white space are encoded whole.
+with runs of white space are encoded whole. Special tokens spelt out in a text get their ids, as
+the library does when it is called with ``add_special_tokens=False``; none has white space in it.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .workspace import kept
+
 END_ID = 2
 #: Chunks a worker remembers, bytes of text it splits at a time, characters of a text it encodes
 #: whole, and chunks it turns into ids at a time. They bound its memory.
@@ -47,7 +50,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         self.end_id, self.letters = end_id, _byte_letters()
         self.space, self.line = self.letters[32], self.letters[10]
         self.bpe = self.tok.model.tokenize
@@ -149,25 +151,21 @@ class ChunkEncoder:
             return np.concatenate(each), np.array([len(x) for x in each], np.int64)
         return out, np.diff(to)
 
-    def encode(self, texts: pa.Array):
+    def encode(self, texts: pa.Array, slice_bytes: int | None = None):
         """Yield (ids, lengths) of slices of ``texts`` in turn; null counts as empty."""
+        slice_bytes = slice_bytes or SLICE_BYTES
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         size = np.cumsum(pc.binary_length(texts).to_numpy()) if len(texts) else np.zeros(0)
         start = 0
         while start < len(texts):
             done = size[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(size, done + SLICE_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(size, done + slice_bytes, "right")))
             yield self._slice(texts.slice(start, stop - start))
             if len(self.chunks) > MAX_CHUNKS or self.used > 8 * MAX_CHUNKS:
                 self._forget()
             start = stop
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, end_id: int = END_ID) -> ChunkEncoder:
     """One for each Python worker and file."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = ChunkEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    return kept(("encoder", path, end_id), lambda: ChunkEncoder(path, end_id))

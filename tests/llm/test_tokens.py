@@ -10,14 +10,13 @@ from tokenizers import Tokenizer
 from ferrovia.llm import packing, simple8b, token_files
 from ferrovia.llm.tokenizing import ChunkEncoder, default_path
 
-EDGES = ["", None, " ", "\n", "a", "  a b", "a  b", "a\n\nb", "a\n b", "a \nb", "foo\n", "foo ", "\tx y", "x\ty z", "é à\xa0b", "\0a b", "\1", "\2", "a \2 b", "\1b c", "don't it's 'q' we've", "日本語 テスト", "<|endoftext|> x", "x1 2y 3", ".. a", 'w" ,x', "a\x1c b", "word... (x) ***", "Ǆ ʰx", "x" * 5000]
+EDGES = ["", None, " ", "\n", "a", "  a b", "a  b", "a\n\nb", "a\n b", "a \nb", "foo\n", "foo ", "\tx y", "x\ty z", "é à\xa0b", "\0a b", "\1", "\2", "a \2 b", "\1b c", "don't it's 'q' we've", "日本語 テスト", "<|endoftext|> x", "a <|endoftext|> b", "a<|endoftext|>b <|endoftext|>", "x <|endoftext|>\n<|endoftext|> y", "x1 2y 3", ".. a", 'w" ,x', "a\x1c b", "word... (x) ***", "Ǆ ʰx", "x" * 5000]
 DOCS = "doc_id long, text string, extra string, ids_crc32 string"
 
 
 @pytest.fixture(scope="module")
 def plain():
     tok = Tokenizer.from_file(default_path())
-    tok.encode_special_tokens = True
     return lambda t: [*tok.encode(t or "", add_special_tokens=False).ids, 2]
 
 
@@ -107,30 +106,52 @@ def test_packing(spark, plain):
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.integers(1, 20), st.integers(1, 60), min_size=1))
-def test_runs_pack_like_best_fit_decreasing(counts):
-    places, opened = packing.best_fit_runs(counts, 20)
+def best_fit_decreasing(counts, capacity):
+    """Sequences that plain best fit opens, a document at a time."""
     gaps = []
     for length in sorted(counts, reverse=True):
         for _ in range(counts[length]):
             fit = min((g for g in gaps if g >= length), default=None)
             if fit is None:
-                gaps.append(20 - length)
+                gaps.append(capacity - length)
             else:
                 gaps.remove(fit)
                 gaps.append(fit - length)
-    assert opened == len(gaps)
-    used, placed = {}, dict.fromkeys(counts, 0)
+    return len(gaps)
+
+
+def check_places(places, counts, capacity):
+    """Every document has one place, no sequence overflows or has a hole; the number of sequences."""
+    used, ranks = {}, {length: [] for length in counts}
     for length, low, high, each, first, at in places:
-        assert low == placed[length]
-        placed[length] = high
+        ranks[length] += range(low, high)
         for r in range(high - low):
             used.setdefault(first + r // each, []).append((at + r % each * length, length))
-    assert placed == counts
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(n)) for k, n in counts.items()}
     for spots in used.values():
         end = 0
         for a, n in sorted(spots):
             assert a == end
             end += n
-        assert end <= 20
+        assert end <= capacity
+    assert sorted(used) == list(range(len(used)))
+    return len(used)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 60), min_size=1))
+def test_a_sweep_packs_like_best_fit_decreasing(counts):
+    places, left, _ = packing.sweep([(k, 0, n) for k, n in counts.items()], [], 20, 0)
+    assert not left and check_places(places, counts, 20) == best_fit_decreasing(counts, 20)
+
+
+@pytest.mark.parametrize("seed, capacity", [(0, 1024), (1, 1024), (2, 1024), (3, 64)])
+def test_supersteps_pack_like_best_fit_decreasing(spark, seed, capacity):
+    rng = np.random.default_rng(seed)
+    sizes = np.minimum(capacity, 1 + rng.exponential((capacity / 3, capacity / 12, capacity / 40, capacity / 2)[seed], 1500).astype(int))
+    counts = {int(k): int(n) for k, n in zip(*np.unique(sizes, return_counts=True))}
+    found = packing.find_places(spark.createDataFrame(list(counts.items()), "length long, n long"), capacity)
+    n = check_places([tuple(r) for r in found.collect()], counts, capacity)
+    best = best_fit_decreasing(counts, capacity)
+    assert -(-int(sizes.sum()) // capacity) <= n <= best + max(1, best // 200)
+    assert found.sparkSession.createDataFrame([], "length long, n long").transform(packing.find_places).count() == 0
