@@ -9,17 +9,21 @@ input. Three passes:
    share theirs. Each partition counts, for every document, its distinct minimizers in a count-min
    sketch whose counters stop at two; the partitions' sketches are merged in a tree. The sketch
    overestimates, so a window whose minimizer is counted once occurs in one document only.
-2. *Exact grouping* of just the windows estimated repeated, by 128-bit hashes of their words. A map
+2. *Exact grouping* of just the windows estimated repeated, by 128-bit hashes of their words: two
+   rolling sums over two unrelated hashes of each word. A map
    task first settles the copies that it holds itself: only those of its smallest document go on
-   to the shuffle, so a passage that a third of all documents share sends one row a task.
+   to the shuffle, the places at equal distances as one row, so a passage that a third of all
+   documents share, or a document that repeats one line, sends one row a task.
 3. The spans that go are gathered by document and cut out of its text.
 
 The sketch's width follows the corpus up to ``MAX_CELLS``; beyond that its memory stays the
 same and it only rejects less, losing nothing.
 
 Null and short texts have no window. A null ``doc_id`` counts as larger than all others. Rows of one
-``doc_id`` never remove each other's words. An empty table gives no rows. Columns other than
-``doc_id`` and ``text`` are ignored.
+``doc_id``, and rows without one, never remove each other's words; a row is known by its ``doc_id``
+and a 64-bit hash of its text, so equal rows share their spans and get the same result. An empty
+table gives no rows. Columns other than ``doc_id`` and ``text`` are passed through or ignored,
+whatever their names: they travel as one column.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import kept, table
+from .workspace import kept, release, table
 
 WINDOW, SHINGLE = 50, 25
 ROWS, BLOCK_BITS, MIN_CELLS, MAX_CELLS = 2, 20, 1 << 20, 1 << 29
@@ -76,10 +80,13 @@ class Windows:
     def __init__(self, words: list[bytes]):
         import xxhash
 
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        self.n = len(words) - WINDOW + 1
-        up, self.down = kept("powers", _Powers).of(len(words))
-        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x * p)]) for x, p in ((h, up[0]), (_mix(h), up[1]))]
+        self.words = words
+        self.up, self.down = kept("powers", _Powers).of(len(words))
+        self.sums = [self._summed(xxhash.xxh3_64_intdigest, 0)]
+
+    def _summed(self, digest, k: int) -> np.ndarray:
+        h = np.fromiter(map(digest, self.words), np.uint64, len(self.words))
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * self.up[k])])
 
     def _rolled(self, k: int, size: int, at: np.ndarray | slice) -> np.ndarray:
         s = self.sums[k]
@@ -95,6 +102,10 @@ class Windows:
         return low
 
     def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        import xxhash
+
+        if len(self.sums) == 1:
+            self.sums.append(self._summed(xxhash.xxh64_intdigest, 1))
         return self._rolled(0, WINDOW, at), self._rolled(1, WINDOW, at)
 
 
@@ -202,32 +213,53 @@ def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
 
 
-_FOUND = "settled boolean, h1 long, h2 long, doc long, tag int, pos int, n int"
+#: Windows of a row: ``n`` of them at ``pos``, ``pos + step`` and so on, minus ``n`` if a task has settled that they go.
+_FOUND = "h1 long, h2 long, doc long, tag long, at long, n int"
+
+
+def _packed(pos: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that start a run of equally distant places, the runs' steps and lengths; ``new`` marks the first row of a group."""
+    apart = np.diff(pos, prepend=pos[:1])
+    start = new.copy()
+    start[2:] |= ~new[1:-1] & (apart[2:] != apart[1:-1])
+    first = np.flatnonzero(start)
+    n = np.diff(np.append(first, len(pos)))
+    step = np.where(n > 1, apart[np.minimum(first + 1, len(pos) - 1)], 1) if len(pos) else n
+    return first, step, n
 
 
 def _candidates(docs: DataFrame, seen, bits: int) -> DataFrame:
     """Windows estimated repeated that the shuffle has to settle, and spans that a task has settled."""
 
     def find(batches):
-        held, size = [], 0
+        held, doc_of, tag_of, size = [], [], [], 0
 
         def batch():
-            nonlocal held, size
-            h1, h2, doc, tag, pos = map(np.concatenate, zip(*held, strict=True))
-            held, size = [], 0
+            nonlocal held, doc_of, tag_of, size
+            h1, h2, row, pos = map(np.concatenate, zip(*held, strict=True))
+            docs_, tags = np.array(doc_of, np.int64), np.array(tag_of, np.int64)
+            held, doc_of, tag_of, size = [], [], [], 0
             order = np.lexsort((h2, h1))
-            h1, h2, doc, tag, pos = h1[order], h2[order], doc[order], tag[order], pos[order]
+            h1, h2, row, pos = h1[order], h2[order], row[order], pos[order]
+            doc = docs_[row]
             start = _runs(h1, h2)
             least = np.repeat(np.minimum.reduceat(doc, start), np.diff(np.append(start, len(h1))))
             out = doc > least
-            order = np.lexsort((pos[out], tag[out], doc[out]))
-            d, t, p = doc[out][order], tag[out][order], pos[out][order]
-            new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (p[1:] != p[:-1] + 1)])) if len(d) else np.zeros(0, int)
-            spans = np.diff(np.append(new, len(d)))
-            go, k = ~out, len(new)
-            spread = _mix(d[new].view(np.uint64)).view(np.int64)
-            columns = [np.concatenate(x) for x in ((np.zeros(go.sum(), bool), np.ones(k, bool)), (h1[go].view(np.int64), spread), (h2[go].view(np.int64), np.zeros(k, np.int64)), (doc[go], d[new]), (tag[go], t[new]), (pos[go], p[new]), (np.ones(go.sum(), np.int32), spans.astype(np.int32)))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["settled", "h1", "h2", "doc", "tag", "pos", "n"])
+            columns = []
+            for mine, keys in ((~out, (pos, row, h2, h1)), (out, (pos, row))):
+                order = np.lexsort([k[mine] for k in keys])
+                a, b, r, p = (x[mine][order] for x in (h1, h2, row, pos))
+                new = np.ones(len(p), bool)
+                if mine is out:
+                    new[1:] = r[1:] != r[:-1]
+                else:
+                    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (r[1:] != r[:-1])
+                first, step, n = _packed(p, new)
+                if mine is out:
+                    a, b = _mix(docs_[r].view(np.uint64)), np.zeros(len(p), np.uint64)
+                    n = -n
+                columns.append((a[first].view(np.int64), b[first].view(np.int64), docs_[r[first]], tags[r[first]], p[first].astype(np.int64) | step.astype(np.int64) << 32, n.astype(np.int32)))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["h1", "h2", "doc", "tag", "at", "n"])
 
         sketch = seen.value
         for rows in batches:
@@ -241,55 +273,80 @@ def _candidates(docs: DataFrame, seen, bits: int) -> DataFrame:
                         cell = _cells(low[hit], row, bits)
                         hit = hit[(sketch[row][(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                     if hit.size:
-                        held.append((*windows.hashes(hit), np.full(len(hit), doc), np.full(len(hit), tag, np.int32), (hit + at).astype(np.int32)))
+                        held.append((*windows.hashes(hit), np.full(len(hit), len(doc_of), np.int32), (hit + at).astype(np.int32)))
+                        doc_of.append(doc)
+                        tag_of.append(tag)
                         size += len(hit)
                         if size >= HELD:
                             yield batch()
         if held:
             yield batch()
+        release()
 
     return docs.select("doc", "tag", "text").mapInArrow(find, _FOUND)
 
 
 def _settle(found: DataFrame) -> DataFrame:
-    """(doc, tag, pos, n): spans of windows that a smaller document has."""
+    """(doc, tag, at, n): places of windows that a smaller document has."""
 
     def settle(batches):
         last = None  # (h1, h2, smallest doc) of the run that may go on
         for rows in batches:
-            settled, h1, h2, doc, tag, pos, n = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            h1, h2, doc, tag, at, n = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            if not len(h1):
+                continue
             start = _runs(h1, h2)
             least = doc[start].copy()  # rows come in order of doc
             if last and (h1[0], h2[0]) == last[:2]:
                 least[0] = last[2]
             last = (h1[-1], h2[-1], least[-1])
-            out = (doc > np.repeat(least, np.diff(np.append(start, len(h1))))) | settled
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc, tag, pos, n)], ["doc", "tag", "pos", "n"])
+            out = (doc > np.repeat(least, np.diff(np.append(start, len(h1))))) | (n < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (doc, tag, at, np.abs(n))], ["doc", "tag", "at", "n"])
+
+    settled = F.col("n") < 0
+    return found.repartition("h1").sortWithinPartitions(settled, "h1", "h2", "doc").mapInArrow(settle, "doc long, tag long, at long, n int")
+
 
-    return found.repartition("h1").sortWithinPartitions("settled", "h1", "h2", "doc").mapInArrow(settle, "doc long, tag int, pos int, n int")
+def _row_key() -> tuple[F.Column, F.Column]:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))), F.xxhash64("text")
 
 
 def mark_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with __spans: the n windows from word pos on of each span (pos, n) go; null if none."""
+    """``row`` (a struct of the columns of ``docs``) and ``spans``: windows (at, n) that go, as :data:`_FOUND` has them; null if none."""
     spark = docs.sparkSession
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))), "__tag": F.hash("text")})
-    plain = keyed.select(F.col("__doc").alias("doc"), F.col("__tag").alias("tag"), "text")
+    doc, tag = _row_key()
+    plain = docs.select(doc.alias("doc"), tag.alias("tag"), "text")
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = size / 6 * 2 / (WINDOW - SHINGLE + 2)  # minimizers, at six bytes a word
     bits = max(int(log2(MIN_CELLS)), min(int(log2(MAX_CELLS)), ceil(log2(max(1, 10 * expected)))))
     seen = spark.sparkContext.broadcast(_repeated_cells(plain, bits))
-    spans = _settle(_candidates(plain, seen, bits)).groupBy(F.col("doc").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_list(F.struct("pos", "n")).alias("__spans"))
-    return keyed.join(spans, ["__doc", "__tag"], "left").select(*docs.columns, "__spans")
+    spans = _settle(_candidates(plain, seen, bits)).groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), doc.alias("doc"), tag.alias("tag"))
+    return rows.join(spans, ["doc", "tag"], "left").select("row", "spans")
 
 
 def keep_mask(n_words: int, spans: list | None) -> np.ndarray:
+    """Which of a text's words stay."""
     edge = np.zeros(n_words + 1, np.int64)
     for s in spans or ():
-        edge[s["pos"]] += 1
-        edge[s["pos"] + s["n"] - 1 + WINDOW] -= 1
+        pos, step, n = s["at"] & 0xFFFFFFFF, s["at"] >> 32, s["n"]
+        starts = np.array([pos]) if step <= WINDOW else pos + step * np.arange(n)
+        np.add.at(edge, starts, 1)
+        np.add.at(edge, starts + WINDOW + (step * (n - 1) if step <= WINDOW else 0), -1)
     return np.cumsum(edge)[:n_words] == 0
 
 
+def _cut(text: str | None, spans: pa.Scalar) -> tuple[int, int, bytes]:
+    """Words of a text, how many go, and those that stay, joined by single spaces."""
+    words = split_words(text)
+    n, removed = len(words), 0
+    if spans.is_valid:
+        mask = keep_mask(n, spans.as_py())
+        removed = n - int(mask.sum())
+        words = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
+    return n, removed, b" ".join(words)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by single spaces; null if none went), kept_sha256."""
 
@@ -297,15 +354,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
         for rows in batches:
             out = []
-            for doc_id, text, spans in zip(rows.column("doc_id").to_pylist(), rows.column("text"), rows.column("__spans"), strict=True):
-                words = split_words(text.as_py())
-                n, removed = len(words), 0
-                if spans.is_valid:
-                    mask = keep_mask(n, spans.as_py())
-                    removed = n - int(mask.sum())
-                    words = [w for w, k in zip(words, mask.tolist(), strict=True) if k]
-                kept = b" ".join(words)
-                out.append((doc_id, n, removed, kept.decode() if removed else None, hashlib.sha256(kept).hexdigest()))
+            ids, texts = rows.column("row").flatten()
+            for doc_id, text, spans in zip(ids.to_pylist(), texts, rows.column("spans"), strict=True):
+                n, removed, left = _cut(text.as_py(), spans)
+                out.append((doc_id, n, removed, left.decode() if removed else None, hashlib.sha256(left).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -319,14 +371,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         for rows in batches:
-            texts, stays = rows.column("text").to_pylist(), np.ones(rows.num_rows, bool)
-            for k, spans in enumerate(rows.column("__spans")):
+            held = dict(zip(schema.names, rows.column("row").flatten(), strict=True))
+            texts, stays = held["text"].to_pylist(), np.ones(rows.num_rows, bool)
+            for k, spans in enumerate(rows.column("spans")):
                 if spans.is_valid:
-                    words = split_words(texts[k])
-                    left = [w for w, keep in zip(words, keep_mask(len(words), spans.as_py()).tolist(), strict=True) if keep]
-                    texts[k], stays[k] = b" ".join(left).decode(), bool(left)
-            columns = [pa.array(texts, rows.column("text").type) if c == "text" else rows.column(c) for c in schema.names]
-            yield pa.RecordBatch.from_arrays(columns, schema.names).filter(pa.array(stays))
+                    texts[k] = _cut(texts[k], spans)[2].decode()
+                    stays[k] = bool(texts[k])
+            held["text"] = pa.array(texts, held["text"].type)
+            yield pa.RecordBatch.from_arrays(list(held.values()), schema.names).filter(pa.array(stays))
 
     return mark_repeats(docs).mapInArrow(cut, schema)
 

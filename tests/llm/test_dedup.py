@@ -69,6 +69,36 @@ def test_rows_without_repeats(spark, passages):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_many_rows_without_an_id(spark):
+    """Rows without an id are told apart by all of their text, not by a short hash of it."""
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"q{rng.randrange(500)}" for _ in range(n))
+    passage = say(55)
+    rows = [(1, passage)] + [(None, f"{say(rng.randrange(40))} {passage if k % 5 == 0 else ''} {say(20)}") for k in range(300)]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).drop("kept")
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(r) for r in brute_force(rows))
+
+
+def test_repetitive_documents_send_few_rows(spark):
+    """A window at equal distances is one row, whatever the number of its places."""
+    line = " ".join(f"l{k}" for k in range(17))
+    rows = [(k, f"{line} " * (400 + k)) for k in range(6)] + [(9, "word " * 5000)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    assert sorted(tuple(r) for r in substring_dedup.remove_repeats(docs).drop("kept").collect()) == sorted(brute_force(rows))
+    pos = np.array([0, 1, 2, 9, 12, 15, 4, 0, 7])
+    first, step, n = substring_dedup._packed(pos, np.array([1, 0, 0, 0, 0, 0, 1, 1, 0], bool))
+    assert sorted(p + s * k for p, s, m in zip(pos[first], step, n) for k in range(m)) == sorted(pos.tolist())
+    assert len(first) < len(pos)
+
+
+def test_columns_of_any_name(spark):
+    rows = [(1, "a " * 60, 5, 7, "x"), (2, "a " * 60 + "b", 6, 8, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, doc long, tag long, spans string")
+    kept = substring_dedup.without_repeats(docs)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect()) == [rows[0], (2, "b", 6, 8, "y")]
+
+
 def slow_fingerprint(text, shingle=4):
     w = [x for x in words_of("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")) if x]
     s = [" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] or ([" ".join(w)] if w else [])
