@@ -23,15 +23,21 @@ def sorted_tokens(name: Column) -> Column:
 
 
 def indel_ratio(a: str, b: str) -> float:
-    """100 * 2 * LCS / (len a + len b); 100 for two empty strings."""
+    """100 * 2 * LCS / (len a + len b); 100 for two empty strings.
+
+    The longest common subsequence comes bit-parallel: a zero bit of ``row`` is a place of ``b`` where it grows.
+    """
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
+    places: dict[str, int] = {}
+    for k, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << k
+    whole = (1 << len(b)) - 1
+    row = whole
     for x in a:
-        corner = 0
-        for k, y in enumerate(b, 1):
-            corner, row[k] = row[k], corner + 1 if x == y else max(row[k], row[k - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & whole
+    return 200.0 * (len(b) - row.bit_count()) / (len(a) + len(b))
 
 
 @F.pandas_udf(DoubleType())
@@ -44,6 +50,12 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
     return _indel(sorted_tokens(a), sorted_tokens(b))
 
 
+def highest_ratio(a: Column, b: Column) -> Column:
+    """What the similarity of two names can't exceed, by their lengths alone."""
+    n, m = (F.length(sorted_tokens(x)) for x in (a, b))
+    return F.when(n + m == 0, 100.0).otherwise(200.0 * F.least(n, m) / (n + m))
+
+
 def shorten(text: Column, width: int = 43) -> Column:
     """The first ``width`` characters, with three dots after them if there were more."""
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text)

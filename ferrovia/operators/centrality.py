@@ -19,9 +19,9 @@ def service_arcs(edges: DataFrame) -> DataFrame:
 
 
 def pivots(nodes: DataFrame, k: int | None, seed: int = 0) -> DataFrame:
-    """``k`` nodes by a seeded hash; all if None."""
+    """``k`` nodes by a seeded hash (MD5, so that other engines draw the same); all if None."""
     ids = nodes.select("node_id").distinct()
-    return ids if k is None else ids.orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id").limit(k)
+    return ids if k is None else ids.orderBy(F.md5(F.concat("node_id", F.lit(f":{seed}"))), "node_id").limit(k)
 
 
 def brandes(out: dict[str, list[str]], source: str) -> dict[str, float]:
@@ -70,6 +70,8 @@ def _by_levels(arcs: DataFrame, roots: DataFrame) -> DataFrame:
             break
         levels.append(level)
         seen = seen.union(level.select("root", "v"))
+        if len(levels) % 16 == 0:
+            seen = stash(seen, "seen")
     total, share = None, None
     for depth in range(len(levels) - 1, 0, -1):
         here = levels[depth].select("root", F.col("v").alias("w"), F.col("paths").alias("paths_w"))

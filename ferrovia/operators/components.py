@@ -7,11 +7,40 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import stash
 
+#: Edges up to which one task joins them all.
+ONE_TASK = 1 << 18
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+
+def _in_one_task(edges: DataFrame, kind: str) -> DataFrame:
+    """Union-find over all edges (u, v)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        root: dict = {}
+
+        def find(x):
+            while (above := root[x]) != x:
+                root[x] = x = root[above]
+            return x
+
+        for batch in batches:
+            for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                root.setdefault(a, a)
+                root.setdefault(b, b)
+                a, b = sorted((find(a), find(b)))
+                root[b] = a
+        if root:
+            names = batch.schema.field(0).type
+            yield pa.RecordBatch.from_arrays([pa.array(list(root), names), pa.array([find(x) for x in root], names)], ["node", "component"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"node {kind}, component {kind}")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, one_task: int | None = None) -> DataFrame:
     """(node, component) for each node of an edge between two different nodes; component is the least node reached.
 
-    Alternates large-star and small-star steps until the edge set no longer changes, which takes
+    Up to ``one_task`` distinct edges (:data:`ONE_TASK`) are joined by one task. Beyond, alternates large-star and small-star steps until the edge set no longer changes, which takes
     a logarithmic number of rounds. Minima are aggregated map-side before they are joined back,
     so a hub's neighbours never meet in one task unless Spark splits the join's skewed partition.
     Self-loops, repeated edges and edges with a null end are ignored; no edges give no rows.
@@ -21,6 +50,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     now = stash(now.where(u != v).distinct(), "edges")
     mark = lambda t: t.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     seen = mark(now)
+    if seen["n"] <= (ONE_TASK if one_task is None else one_task):
+        return stash(_in_one_task(now, now.schema["u"].dataType.simpleString()), "components")
     for _ in range(max_rounds):
         if not seen["n"]:
             break

@@ -51,16 +51,21 @@ def _in_one_task(nodes: DataFrame, probs: DataFrame, damping: float, tol: float,
 
 def _distributed(nodes: DataFrame, probs: DataFrame, damping: float, tol: float, max_iter: int, every: int = 5) -> DataFrame:
     n = nodes.count()
-    pi, done, k = nodes.select("node_id", F.lit(1.0 / n).alias("x")), False, 0
+    pi, done, k, held = nodes.select("node_id", F.lit(1.0 / n).alias("x")), False, 0, []
     while k < max_iter and not done:
         k += 1
         came = probs.join(pi, probs["src"] == pi["node_id"]).groupBy("dst").agg(F.sum(F.col("x") * F.col("p")).alias("y"))
         new = nodes.join(came, nodes["node_id"] == came["dst"], "left").select("node_id", (F.lit(damping) * F.coalesce("y", F.lit(0.0)) + (1 - damping) / n).alias("y"))
         new = stash(new, "walk") if k % every == 0 else new.persist()
+        held.append(new)
         whole = new.agg(F.sum("y")).first()[0]
         scaled = new.select("node_id", (F.col("y") / whole).alias("x"))
         step = scaled.join(pi.withColumnRenamed("x", "z"), "node_id").agg(F.sqrt(F.sum(F.pow(F.col("x") - F.col("z"), 2)))).first()[0]
         pi, done = scaled, step < tol
+        if k % every == 0:  # the written round no longer needs those before it
+            for old in held[:-1]:
+                old.unpersist()
+            held = held[-1:]
     return pi.select("node_id", F.col("x").alias("L_i_flujo"), F.lit(k).alias("iterations"), F.lit(done).alias("converged"))
 
 

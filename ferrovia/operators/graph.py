@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import WALKING_SPEED_MPS, haversine_m
+from ..plans.storage import stash
 from ..sources.feed import Feed
 from .checks import require
 
@@ -107,9 +108,9 @@ def all_edges(service: DataFrame, transfers: DataFrame) -> DataFrame:
 
 
 def build_graph(feed: Feed, crosswalk: DataFrame, strict: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges."""
-    service = attach_headway(aggregate_edges(raw_service_edges(feed, crosswalk, strict)), feed)
-    nodes = build_nodes(service, feed, crosswalk)
+    """Nodes and edges. Service edges and nodes are written, so that the feed is read once however often the graph is."""
+    service = stash(attach_headway(aggregate_edges(raw_service_edges(feed, crosswalk, strict)), feed), "service")
+    nodes = stash(build_nodes(service, feed, crosswalk), "nodes")
     return nodes, all_edges(to_node_ids(service), transfer_edges(nodes))
 
 

@@ -5,47 +5,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_name, token_sort_ratio
+from ..functions.text import highest_ratio, normalize_name, token_sort_ratio
+from ..plans.storage import stash
 from .checks import require
 from .components import connected_components
+from .ordering import placed
 from .spatial import radius_pairs
 
 RADIUS_M, NAME_THRESHOLD = 150.0, 85.0
 
 
-def _numbered(items: DataFrame, key: str, pairs: DataFrame, within: list[str], name: str) -> DataFrame:
-    """``items`` with the number of their component, in the order of the components' least key.
+def _items(stops: DataFrame) -> DataFrame:
+    """``stops`` with item: the first of the stops at the same place that bear the same name, which links alike.
 
-    The order is that of the whole file, so one task numbers the distinct components.
+    So the stops of a terminal meet once for each name and place, not once for each pair of stops.
     """
-    reached = connected_components(pairs)
-    rooted = items.join(reached, items[key] == reached["node"], "left").withColumn("root", F.coalesce("component", key)).drop("node", "component")
-    order = Window.partitionBy(*within).orderBy("root")
-    numbers = rooted.select(*within, "root").distinct().withColumn(name, (F.dense_rank().over(order) - 1).cast("long"))
-    return rooted.join(numbers, [*within, "root"]).drop("root")
+    lone = F.when(F.col("stop_lat").isNull() | F.col("stop_lon").isNull() | F.col("stop_name").isNull(), F.col("stop_ordinal"))
+    same = [F.col("stop_lat").alias("y"), F.col("stop_lon").alias("x"), normalize_name(F.col("stop_name")).alias("name"), lone.alias("lone")]
+    keyed = stops.select("*", *same)
+    keys = ("y", "x", "name", "lone")
+    firsts = keyed.groupBy(*(F.col(c).alias(f"of_{c}") for c in keys)).agg(F.min("stop_ordinal").alias("item"))
+    return keyed.join(firsts, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys]).select(*stops.columns, "name", "item")
+
+
+def _rooted(items: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """``items`` with ``name``: the least item of its component."""
+    reached = connected_components(pairs).select(F.col("node").alias("item"), F.col("component").alias(name))
+    return items.join(reached, "item", "left").withColumn(name, F.coalesce(name, "item"))
+
+
+def _near(items: DataFrame, radius_m: float) -> DataFrame:
+    return stash(radius_pairs(items.where("stop_ordinal = item"), "item", radius_m=radius_m).select("a", "b"), "near")
+
+
+def _with_clusters(stops: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """Items with geo_cluster, numbered by their first stop in the file; pairs of near items."""
+    items = stash(_items(stops), "items")
+    near = _near(items, radius_m)
+    rooted = _rooted(items, near, "root")
+    numbers = placed(rooted.select("root").distinct(), F.col("root"), name="geo_cluster")
+    return rooted.join(numbers, "root").drop("root"), near
 
 
 def geographic_clusters(stops: DataFrame, radius_m: float = RADIUS_M) -> DataFrame:
     """``stops`` with geo_cluster: chains of stops at most ``radius_m`` apart, numbered by their first stop in the file."""
-    return _numbered(stops, "stop_ordinal", radius_pairs(stops, "stop_ordinal", radius_m=radius_m), [], "geo_cluster")
+    return _with_clusters(stops, radius_m)[0].select(*stops.columns, "geo_cluster")
 
 
-def name_pairs(clustered: DataFrame, threshold: float = NAME_THRESHOLD, radius_m: float = RADIUS_M) -> DataFrame:
-    """(a, b) of stops in one geo_cluster that are near and named alike. The distance is tested first, and a pair of names once."""
-    near = radius_pairs(clustered, "stop_ordinal", radius_m=radius_m)
-    names = clustered.select(F.col("stop_ordinal").alias("k"), normalize_name(F.col("stop_name")).alias("n"))
-    named = near.join(names.select(F.col("k").alias("a"), F.col("n").alias("x")), "a").join(names.select(F.col("k").alias("b"), F.col("n").alias("y")), "b")
-    named = named.select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    alike = named.select("x", "y").distinct().where(token_sort_ratio(F.col("x"), F.col("y")) >= threshold)
+def alike_pairs(items: DataFrame, near: DataFrame, threshold: float = NAME_THRESHOLD) -> DataFrame:
+    """Those of the pairs (a, b) of near items that are named alike; a pair of names is compared once, a null name is like none."""
+    names = items.where("stop_ordinal = item").select("item", "name")
+    named = near.join(names.select(F.col("item").alias("a"), F.col("name").alias("x")), "a").join(names.select(F.col("item").alias("b"), F.col("name").alias("y")), "b")
+    named = named.where("x IS NOT NULL AND y IS NOT NULL").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    alike = named.select("x", "y").distinct().where(highest_ratio(x, y) >= threshold).where(token_sort_ratio(x, y) >= threshold)
     return named.join(alike, ["x", "y"]).select("a", "b")
 
 
 def build_crosswalk(stops: DataFrame, radius_m: float = RADIUS_M, threshold: float = NAME_THRESHOLD) -> DataFrame:
-    """stop_id, stop_name, station_id ``station_{geo}_{sub}``, geo_cluster of each stop."""
-    clustered = geographic_clusters(stops, radius_m)
-    numbered = _numbered(clustered, "stop_ordinal", name_pairs(clustered, threshold, radius_m), ["geo_cluster"], "sub")
+    """stop_id, stop_name, station_id ``station_{geo}_{sub}``, geo_cluster of each stop.
+
+    Stops that are near and named alike chain to stations; a cluster's stations are numbered by their first stop.
+    """
+    clustered, near = _with_clusters(stops, radius_m)
+    clustered = stash(clustered, "clustered")
+    rooted = _rooted(clustered, alike_pairs(clustered, near, threshold), "root")
+    order = Window.partitionBy("geo_cluster").orderBy("root")  # a row for each station of a cluster
+    numbers = rooted.select("geo_cluster", "root").distinct().withColumn("sub", F.row_number().over(order) - 1)
     station = F.concat(F.lit("station_"), F.col("geo_cluster").cast("string"), F.lit("_"), F.col("sub").cast("string"))
-    return numbered.select("stop_id", "stop_name", station.alias("station_id"), "geo_cluster")
+    return rooted.join(numbers, ["geo_cluster", "root"]).select("stop_id", "stop_name", station.alias("station_id"), "geo_cluster")
 
 
 def conflicting_overrides(overrides: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.storage import stash
 from .graph import SERVICE, TRANSFER, agency_of, transfer_stations
+from .ordering import placed
 
 DEGREES = ("out_servicio", "out_transbordo", "in_servicio", "in_transbordo")
 
@@ -99,7 +101,7 @@ def histogram(values: DataFrame, column: str, by: str, bins: int) -> DataFrame:
 
 
 def degree_histogram(nodes: DataFrame, edges: DataFrame, bins: int = 15) -> DataFrame:
-    degrees = node_degrees(nodes, edges)
+    degrees = stash(node_degrees(nodes, edges), "degrees")
     middle = degrees.groupBy("agency_id").agg(F.median("grado_servicio").alias("median"), F.count("*").alias("n_nodes"))
     return histogram(degrees, "grado_servicio", "agency_id", bins).join(middle, "agency_id")
 
@@ -145,16 +147,18 @@ def column_stats(values: DataFrame, column: str, positive_min: bool = False) ->
 
 
 def ranked(values: DataFrame, column: str, key: str = "node_id") -> DataFrame:
-    """Competition ranks, largest first. Ranking a whole table is one sort, in one task; use :func:`rank_of` for a few keys."""
-    return values.withColumn("rank", F.rank().over(Window.orderBy(F.desc(column))))
+    """Competition ranks, largest first, nulls last."""
+    return placed(values, F.col(column).desc_nulls_last(), name="rank", ranks=True).withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def rank_of(values: DataFrame, column: str, keys: list, key: str = "node_id") -> DataFrame:
-    """Value and rank of some keys, null where a key is absent: 1 and how many are larger."""
-    asked = values.sparkSession.createDataFrame([(k,) for k in keys], f"{key} string")
-    found = asked.join(values.select(key, column), key, "left")
-    larger = F.broadcast(found.select(key, F.col(column).alias("own"))).join(values.select(F.col(column).alias("x")), F.col("x") > F.col("own"))
-    return found.join(larger.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, column, F.when(F.col(column).isNotNull(), F.coalesce("n", F.lit(0)) + 1).alias("rank"))
+    """Value and rank of some keys, null where a key is absent: 1 and how many are larger. All keys are counted in one pass."""
+    spark, kind = values.sparkSession, dict(values.dtypes)[column]
+    found = {r[0]: r[1] for r in values.where(F.col(key).isin(keys)).select(key, column).collect()}  # a row for each key
+    known = sorted({x for x in found.values() if x is not None})
+    larger = values.agg(*(F.count_if(F.col(column) > F.lit(x)) for x in known)).first() if known else ()
+    rank = {x: n + 1 for x, n in zip(known, larger, strict=True)}
+    return spark.createDataFrame([(k, found.get(k), rank.get(found.get(k))) for k in keys], f"{key} string, {column} {kind}, rank long")
 
 
 def top(values: DataFrame, column: str, k: int = 10, key: str = "node_id") -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one is made only where the setting is absent."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one, if all executors run on this machine."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not given:
+        if (sc.master or "").split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         given = "file://" + tempfile.mkdtemp(prefix="ferrovia-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(given)

@@ -3,8 +3,12 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from ferrovia.operators import spatial, stations
 from ferrovia.operators.components import connected_components
+from ferrovia.operators.ordering import placed
+from ferrovia.operators.stats import rank_of, ranked
 
 STOPS = "stop_id string, stop_name string, stop_lat double, stop_lon double, stop_ordinal long"
 
@@ -27,9 +31,32 @@ def test_components_against_union_find(spark):
     for x in list(root):
         want.setdefault(find(x), set()).add(x)
     want = {v: min(g) for g in want.values() for v in g}
-    got = connected_components(spark.createDataFrame(pairs, "a long, b long"))
-    assert {r["node"]: r["component"] for r in got.collect()} == want
-    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    for limit in (None, 0):
+        got = connected_components(spark.createDataFrame(pairs, "a long, b long"), one_task=limit)
+        assert {r["node"]: r["component"] for r in got.collect()} == want
+        assert connected_components(spark.createDataFrame([], "a long, b long"), one_task=limit).count() == 0
+    got = connected_components(spark.createDataFrame([("b", "a"), ("c", "b"), (None, "c"), ("z", "z")], "x string, y string"), "x", "y")
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "a"), ("b", "a"), ("c", "a")]
+
+
+def test_places_and_ranks(spark):
+    rows = [(k % 7 if k % 11 else None, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "x int, part int").repartition(5)
+    got = placed(df, F.col("x").desc_nulls_last(), F.col("part"), name="at")
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert sorted((r["at"], r["x"], r["part"]) for r in got.collect()) == [(k, *r) for k, r in enumerate(order)]
+    ranks = {(r["x"], r["rank"]) for r in ranked(df, "x").collect()}
+    assert ranks == {(x, 1 + sum(y is not None and (x is None or y > x) for y, _ in rows)) for x, _ in rows}
+    assert placed(df.limit(0), F.col("x"), name="at").count() == 0
+    values = spark.createDataFrame([("a", 1.0), ("b", 3.0), ("c", 3.0), ("d", None)], "node_id string, v double")
+    assert [tuple(r) for r in rank_of(values, "v", ["c", "a", "d", "q"]).collect()] == [("c", 3.0, 1), ("a", 1.0, 3), ("d", None, None), ("q", None, None)]
+
+
+def test_stops_of_one_place(spark):
+    """Unnamed or unplaced stops never stand for one another; equal ones do."""
+    rows = [("a", "Sur", 19.4, -99.1, 0), ("b", "Sur", 19.4, -99.1, 1), ("c", None, 19.4, -99.1, 2), ("d", None, 19.4, -99.1, 3), ("e", "Sur", None, -99.1, 4), ("f", "Sur", None, -99.1, 5), ("g", "metro sur", 19.4, -99.1, 6)]
+    got = {r["stop_id"]: r["station_id"] for r in stations.build_crosswalk(spark.createDataFrame(rows, STOPS)).collect()}
+    assert got == {"a": "station_0_0", "b": "station_0_0", "g": "station_0_0", "c": "station_0_1", "d": "station_0_2", "e": "station_1_0", "f": "station_2_0"}
 
 
 @pytest.mark.parametrize("y, x", [(19.4, -99.1), (0.0, 179.9995), (85.0, 10.0), (-60.0, 0.0)])
