@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 
@@ -145,11 +146,63 @@ def test_mixing(spark, monkeypatch, leaf):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
-def test_expectations_stay(monkeypatch):
-    size, total = np.array([5, 9, 2, 30, 7]), np.zeros(5)
+def test_expectations_stay():
+    """But for the last and shortest, whose draw the words left over decide."""
+    size, total = np.array([9, 9, 8, 9, 1, 9, 9, 9, 8, 9]), np.zeros(10)
     for seed in range(4000):
-        total += mixing.round_group(size, np.full(5, 0.3), np.random.default_rng(seed), True)
-    assert abs(total / 4000 - 0.3).max() < 0.03
+        total += mixing.round_group(size, np.full(10, 0.5), np.random.default_rng(seed), True)
+    assert abs(total / 4000 - 0.5).max() < 0.05
+    size, total = np.array([5, 9, 2, 30, 7, 3, 3, 8, 9, 10, 12, 20]), np.zeros(12)
+    for seed in range(4000):
+        out = mixing.round_group(size, np.full(12, 0.3), np.random.default_rng(seed), False)
+        assert (out < 0).sum() <= 1
+        total += np.where(out < 0, 0, out)
+    assert (total / 4000 < 0.33).all()
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_sources_come_near_their_targets(spark, sf):
+    """At most one median document off, also where one document is longer than the whole target."""
+    folder = f"/root/testdata/{sf}"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    by: dict = {}
+    for r in mixing.op8_mixing(spark, folder).collect():
+        by.setdefault((r["source_size"], r["target"]), []).append((r["size"], r["taken"]))
+        assert r["taken"] % max(1, r["size"]) == 0 and r["taken"] <= 3 * r["size"]
+    for (_, target), rows in by.items():
+        assert abs(sum(t for _, t in rows) - target) <= sorted(n for n, _ in rows)[len(rows) // 2]
+
+
+def test_a_document_longer_than_the_target_is_left():
+    for seed in range(50):
+        size = np.array([2065, 400, 300, 300, 200, 100, 50, 20, 10])
+        out = mixing.round_group(size, np.full(9, 1000 / size.sum()), np.random.default_rng(seed), True)
+        assert out[0] == 0 and abs((out * size).sum() - 1000) <= 50
+        assert mixing.round_group(np.array([7]), np.array([0.4]), np.random.default_rng(seed), True)[0] in (0, 1)
+
+
+def test_equal_rows_are_dealt_out(spark, monkeypatch):
+    """A third of all rows alike don't meet in one group, nor are they taken or left together."""
+    for name, n in (("LEAF", 64), ("TOP", 16), ("CHUNK", 16)):
+        monkeypatch.setattr(mixing, name, n)
+    rows = [(None, "a b c", "x")] * 600 + [(k, "a " * (k % 9), "x") for k in range(700)] + [(k, "b " * 4, "y") for k in range(700, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_counts(docs).collect()
+    assert len(got) == len(rows)
+    for source in "xy":
+        mine = [r for r in got if r["source"] == source]
+        assert abs(sum(r["copies"] * r["size"] for r in mine) - mine[0]["target"]) <= 4
+    assert len({r["copies"] for r in got if r["doc_id"] is None}) == 2
+
+
+def test_rows_of_one_id_stay_apart(spark):
+    rows = [(1, "a b c", "x", "en", 1), (1, "a b c", "y", "fr", 2), (2, "d e", "z", "de", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __key string, copies int")
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} <= set(rows)
+    counts = {r["source"]: r["copies"] for r in mixing.mix_counts(docs).collect()}
+    assert {s: sum(r["source"] == s for r in mixed.collect()) for s in "xyz"} == counts
 
 
 def test_mixed_rows(spark):
