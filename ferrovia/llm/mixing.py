@@ -17,7 +17,9 @@ down, so that what a draw decides in the end is among the shortest.
 A document can't be taken if it alone is longer than what is to be taken of those that are
 still open, nor left out if it alone is longer than what is to be left: it has no fair draw, and at
 the top it is settled the way that the others can make up for (if neither is possible, the way that
-misses the target by fewer words). Elsewhere every document's expectation is its share.
+misses the target by fewer words). In the end the words still missing, fewer than a short document
+has, are sought by turning over one or two of the ``SHORT`` shortest. Elsewhere every document's
+expectation is its share.
 
 Draws are seeded by the group, so reruns agree whatever the partitions. Null texts have size 0 and
 are taken 0 words. Rows may repeat and ``doc_id`` may be null: each row is a document, and equal
@@ -40,8 +42,8 @@ from .workspace import count_words, stash, table
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 #: Documents of a group at the leaves of the tree, groups that meet in one above, documents kept for the top.
 LEAF, FAN_IN, TOP = 2048, 64, 1024
-#: Documents of a group below the top that are paired with all smaller ones; equal rows that are dealt out together.
-LONGEST, CHUNK = 64, 4096
+#: Shortest documents that may be turned over in the end. Documents of a group below the top that are paired with all smaller ones; equal rows that are dealt out together.
+SHORT, LONGEST, CHUNK = 32, 64, 4096
 _TINY = 1e-9
 
 _STATE = "doc_id long, tag long, source string, size long, whole long, share double, bucket long, extra int"
@@ -108,14 +110,32 @@ def _against_all(held: int, rest: np.ndarray, size: np.ndarray, share: np.ndarra
 
 def _longest_first(size: np.ndarray, share: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """0 or 1 for each document of a group at the top."""
-    rest = np.argsort(-size, kind="stable")
+    rest, wanted = np.argsort(-size, kind="stable"), float((size * share).sum())
     while rest.size > 1:
         first, rest = int(rest[0]), rest[1:]
         if _open(share[first]):
             _against_all(first, rest, size, share, rng, settle=True)
     if rest.size and _open(share[rest[0]]):
         share[rest[0]] = float(rng.random() < share[rest[0]])
-    return (share > 0.5).astype(int)
+    out = (share > 0.5).astype(int)
+    _trim(size, out, wanted)
+    return out
+
+
+def _trim(size: np.ndarray, out: np.ndarray, wanted: float) -> None:
+    """Turn over the one or two of the shortest documents that bring the words taken nearest to ``wanted``, while any do."""
+    short = np.argsort(size, kind="stable")[:SHORT]
+    for _ in range(SHORT):
+        missing = wanted - float((size * out).sum())
+        turn = np.where(out[short] == 1, -size[short], size[short]).astype(float)
+        both = turn[:, None] + turn[None, :]
+        np.fill_diagonal(both, turn)
+        left = np.abs(missing - both)
+        i, j = np.unravel_index(np.argmin(left), left.shape)
+        if left[i, j] >= abs(missing) - 1e-6:
+            return
+        for k in {int(i), int(j)}:
+            out[short[k]] = 1 - out[short[k]]
 
 
 def round_group(size: np.ndarray, share: np.ndarray, rng: np.random.Generator, last: bool) -> np.ndarray:
