@@ -38,6 +38,46 @@ def test_large_components_stay_exact(spark):
     assert sorted(tuple(r) for r in mtree.top_k(vectors.where("vec_id = 0"), vectors).collect()) == sorted(brute_force(table))
 
 
+def test_scores_beyond_64_bits(spark):
+    """They count as the largest 64-bit integer; components that leave 64 bits take no part."""
+    table = [(0, [1e13, 1.0]), (1, [1e13, 2.0]), (2, [-1e13, 2.0]), (3, [1.5, 2.0]), (4, [1e38, 1.0]), (50, [2.0, 3e38])]
+    vectors = mtree.usable_vectors(spark.createDataFrame([(*r, 1, "x") for r in table], VECTORS))
+    got = [tuple(r) for r in mtree.top_k(vectors.where("vec_id % 50 = 0"), vectors).orderBy("rank").collect()]
+    near = int(np.floor(256 * float(np.float32(1e13)))) * 384 + 256 * 512
+    assert got == [(0, 1, 1, (1 << 63) - 1), (0, 2, 3, near), (0, 3, 2, -(1 << 63))]
+
+
+def test_one_large_vector_among_many(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "LEAST_ROWS", 64)
+    rng = random.Random(5)
+    table = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(300)] + [(1000, [4e12, -3e12, 1.0, 2.0]), (1050, [-4e12, 3e12, 1.0, 2.0])]
+    vectors = mtree.usable_vectors(spark.createDataFrame([(*r, 1, "x") for r in table], VECTORS))
+    got = mtree.top_k(vectors.where("vec_id % 50 = 0"), vectors)
+    clipped = [(q, r, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, i, s in brute_force(table)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(clipped)
+
+
+def test_clustered_vectors_skip_pages_and_cells(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "LEAST_ROWS", 200)
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(0, 1, (40, 16)), 100, axis=0) + rng.normal(0, 0.02, (4000, 16))
+    v = np.floor(256 * x).astype(np.int64)
+    pages = mtree.build_tree(np.arange(4000), v)
+    leaves, read = sum("ids" in p for p in pages), []
+    for q in range(0, 4000, 50):
+        found = mtree.search_tree(pages, v[q], q, read=read)
+        order = np.lexsort((np.arange(4000), -(v @ v[q])))
+        assert [i for _, i in found] == [i for i in order.tolist() if i != q][:5]
+    assert len(read) < 0.25 * leaves * 80
+    vectors = spark.createDataFrame([(k, r.tolist(), 16) for k, r in enumerate(v)], "vec_id long, v array<long>, dim int")
+    forest = mtree.Forest(vectors)
+    asked = vectors.where("vec_id % 50 = 0").selectExpr("vec_id AS query_id", "v", "dim", "0 AS block", "cast(null as long) AS least")
+    floors = {int(q): int(np.sort(np.delete(v @ v[q], q))[-5]) for q in range(0, 4000, 50)}
+    known = spark.createDataFrame(list(floors.items()), "query_id long, least long")
+    assert forest.routed(asked, False).count() == 80 and len(forest.balls.value[16][0]) == 12
+    assert forest.routed(asked.drop("least").join(known, "query_id"), True).count() < 0.5 * 80 * 11
+
+
 def test_no_vectors(spark):
     vectors = mtree.usable_vectors(spark.createDataFrame([], VECTORS))
     assert mtree.top_k(vectors, vectors).count() == 0
