@@ -1,18 +1,29 @@
 """Near copies: components of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Every pair at the threshold links; nothing is sampled or capped. A fingerprint of 64 bits can't say
-so: such pairs differ in up to 14 bits, and 14 of 64 leave no blocks to deal out by. So the sets
-are compared, and what can't link is left out by bounds that hold for every pair:
+This is operator 7's search, pivot tables of Hamming distances, over fingerprints that can say so.
+A SimHash of 64 bits can't: such pairs differ in up to 14 bits, no bound holds for all of them, and 14
+of 64 leave no blocks to deal out by. Here a fingerprint has ``BITS`` bits, each the parity of the
+shingles that hash to it: a shingle that only one of two sets has turns over one bit, so two
+fingerprints never differ in more bits than the sets do in shingles. Sets of ``n`` and ``m`` shingles
+that link differ in at most ``(n + m) / 9``. Every pair at the threshold links; nothing is sampled or
+capped:
 
 * texts of equal sets are one, a *set*, known by a 64-bit hash as shingles are;
 * two sets that link share at least ``0.8 n`` shingles of either, thus ``c`` of the ``n - 0.8 n + c``
   smallest hashes (*head*) of both. A set whose head repeats fewer elsewhere has no near copy;
 * among those left, shingles are counted: ``0.8 n`` of a set must be in other sets, too;
 * ordered by count, rarest first, two sets that link share one of the first ``n - 0.8 n + 1``.
-  Sets that share one are joined to *families* by a star for each shingle, never by its pairs.
+  Sets that share one are joined to *families* by a star for each shingle, never by its pairs;
+* in a family, a table of the fingerprints' distances to reference fingerprints (pivots, each the one
+  farthest from those before it) discards a pair whose distances to any pivot differ by more than
+  the sets may; then the fingerprints themselves are compared, and the shingles of what survives.
 
-Then each family's sets are compared in one task. A family of over BLOCK shingles is cut in
-blocks, and each pair of blocks is a task. A task emits a forest, not its pairs.
+A family is compared in one task; one of over BLOCK shingles is cut in blocks, and each pair of
+blocks is a task. A task emits a forest, not its pairs.
+
+Null texts and texts without words have the empty set and are copies of each other. Null or repeated
+``doc_id`` are rows like others. Columns of any name pass through: they travel as one. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..operators.components import connected_components
-from .workspace import stash
+from .simhash import listed, one_of_each, place_of, survivors
+from .workspace import release, stash
 
 SHINGLE, SEED = 5, 42
 #: The least similarity is TOP / BELOW.
 TOP, BELOW = 4, 5
-#: Shingles of a block; texts of a slice in a worker; rows up to which a list of rows is broadcast.
-BLOCK, SLICE, BROADCAST = 1 << 18, 500, 1 << 21
+#: Bits of a fingerprint, and reference fingerprints of a family.
+BITS, PIVOTS = 2048, 16
+#: Shingles of a block; texts of a slice in a worker.
+BLOCK, SLICE = 1 << 18, 500
 
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -80,10 +94,11 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with __key (of the set), __n (its size), __least (heads must repeat so many) and __head."""
+    """``row`` (a struct of the columns of ``docs``), text, key (of the set), n (its size), least (heads must repeat so many), head and id."""
     import xxhash
 
-    more = [StructField(c, LongType()) for c in ("__key", "__n", "__least")] + [StructField("__head", ArrayType(LongType()))]
+    plain = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    more = [StructField(c, LongType()) for c in ("key", "n", "least")] + [StructField("head", ArrayType(LongType()))]
 
     def run(batches):
         for part, sets in _slices(batches):
@@ -91,30 +106,28 @@ def keyed(docs: DataFrame) -> DataFrame:
             size = [len(s) for s in sets]
             heads = [s[: n - least_shared(n) + _more(n)] if n else s for s, n in zip(sets, size, strict=True)]
             columns = [pa.array(key), pa.array(size, pa.int64()), pa.array([_more(least_shared(n)) for n in size], pa.int64()), _lists(heads)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *columns], [*part.schema.names, *(f.name for f in more)])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *more]))
-
+            yield pa.RecordBatch.from_arrays([part.column("row"), *columns], ["row", *(f.name for f in more)])
+        release()
 
-def _listed(rows: DataFrame) -> DataFrame:
-    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+    found = plain.mapInArrow(run, StructType([plain.schema["row"], *more]))
+    return found.withColumn("id", F.monotonically_increasing_id())
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(key, n, shingles) of each set whose head repeats enough shingles; ``rows`` is a written table of ``keyed``, with __row."""
+    """(key, n, shingles) of each set whose head repeats enough shingles; ``rows`` is a written table of ``keyed``."""
     by_shingle = Window.partitionBy("shingle")
-    heads = rows.select(F.explode("__head").alias("shingle"), F.col("__key").alias("key"), F.col("__least").alias("least"))
+    heads = rows.select(F.explode("head").alias("shingle"), "key", "least")
     shared = heads.withColumns({"lo": F.min("key").over(by_shingle), "hi": F.max("key").over(by_shingle)}).where("lo <> hi")
     # copies of a set repeat its head; the quotient by their number is what the set itself has
     some = shared.groupBy("key").agg(F.count("*").alias("n"), F.first("least").alias("least"))
-    copies = rows.select(F.col("__key").alias("key"), F.col("__row").alias("row")).groupBy("key").agg(F.count("*").alias("copies"), F.min("row").alias("__row"))
-    picked = stash(some.join(copies, "key").where(F.col("n") >= F.col("least") * F.col("copies")).select("__row"), "picked")
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("id"))
+    picked = stash(some.join(copies, "key").where(F.col("n") >= F.col("least") * F.col("copies")).select("id"), "picked")
 
     def run(batches):
         for part, sets in _slices(batches):
             yield pa.RecordBatch.from_arrays([part.column("key"), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], ["key", "n", "shingles"])
 
-    texts = rows.select("__row", F.col("__key").alias("key"), "text").join(_listed(picked), "__row").select("key", "text")
+    texts = rows.select("id", "key", F.col("row.text").alias("text")).join(listed(picked), "id").select("key", "text")
     return stash(texts.mapInArrow(run, "key long, n long, shingles array<long>"), "sets")
 
 
@@ -129,36 +142,50 @@ def families(sets: DataFrame) -> DataFrame:
     return connected_components(first.select("key", F.min("key").over(by_shingle).alias("least")).where("key <> least").distinct(), "key", "least")
 
 
+def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BITS bits for each set, in 64-bit words: whether an odd number of its shingles falls on a bit."""
+    out = np.zeros((len(sets), BITS // 8), np.uint8)
+    for k, s in enumerate(sets):
+        out[k] = np.packbits(np.bincount(s.view(np.uint64) % np.uint64(BITS), minlength=BITS).astype(np.uint8) & 1)
+    return out.view(np.uint64)
+
+
+def _apart(some: np.ndarray, one: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(some ^ one).sum(axis=1, dtype=np.int32)
+
+
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """Distances of all fingerprints to up to PIVOTS of them, each the farthest from those before it."""
+    columns, at = [], 0
+    for _ in range(min(PIVOTS, len(fp))):
+        columns.append(_apart(fp, fp[at]))
+        nearest = columns[-1] if len(columns) == 1 else np.minimum(nearest, columns[-1])
+        at = int(np.argmax(nearest))
+        if not nearest[at]:
+            break
+    return np.stack(columns, axis=1)
+
+
 def forest(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges that join what links join among ``sets``; with ``side``, of links between different sides only."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
-    order = np.argsort(flat, kind="stable")
-    held = owner[order]  # the sets of each shingle in turn
-    new = np.concatenate([[True], np.diff(flat[order]) != 0])
-    start = np.flatnonzero(new)
-    many = np.diff(np.append(start, len(flat)))
-    number = np.empty(len(flat), np.int64)
-    number[order] = np.cumsum(new) - 1
-    label, edges, at = np.arange(m), [], np.concatenate([[0], np.cumsum(size)])
+    fp = fingerprints(sets)
+    far, label, edges = pivot_table(fp), np.arange(m), []
     for k in range(m - 1):
-        if (label == label[k]).all():
+        to = np.flatnonzero(label != label[k])
+        if not to.size:
             break
-        mine = number[at[k] : at[k + 1]]
-        mine = mine[many[mine] > 1]
-        runs = many[mine]
-        ends = np.cumsum(runs)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[mine] - (ends - runs), runs)
-        both = np.bincount(held[places], minlength=m)
-        near = (TOP + BELOW) * both >= TOP * (size + size[k])  # both / (size + size[k] - both) >= TOP / BELOW
-        near[: k + 1] = False
-        if side is not None:
-            near &= side != side[k]
-        for j in np.flatnonzero(near & (label != label[k])).tolist():
+        to = to[to > k] if side is None else to[(to > k) & (side[to] != side[k])]
+        most = (size[to] + size[k]) * (BELOW - TOP) // (BELOW + TOP)  # shingles that only one of two sets that link has
+        to = to[survivors(far, np.full(len(to), k), to, most)]
+        most = (size[to] + size[k]) * (BELOW - TOP) // (BELOW + TOP)
+        for j in to[_apart(fp[to], fp[k]) <= most].tolist():
             if label[j] != label[k]:
-                label[label == label[j]] = label[k]
-                edges.append((k, j))
+                both = np.intersect1d(sets[k], sets[j], assume_unique=True).size
+                if (TOP + BELOW) * both >= TOP * int(size[k] + size[j]):  # both / (size + size - both) >= TOP / BELOW
+                    label[label == label[j]] = label[k]
+                    edges.append((k, j))
     return edges
 
 
@@ -198,13 +225,8 @@ def links(sets: DataFrame, family: DataFrame) -> DataFrame:
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: of the smallest ``doc_id``, nulls last; of equal ones, by a hash of the row."""
-    rows = stash(keyed(docs).withColumn("__row", F.monotonically_increasing_id()), "keyed")
+    rows = stash(keyed(docs), "keyed")
     sets = candidates(rows)
-    joined = connected_components(links(sets, families(sets)))
-    hashed = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").cast("long").alias("id"), hashed.alias("hash"), F.col("__row").alias("row"))
-    labelled = rows.select("__key", place.alias("place")).join(joined, F.col("__key") == F.col("node"), "left").select("place", F.coalesce("component", "__key").alias("root"))
-    labelled = stash(labelled, "labelled")
-    least = labelled.groupBy("root").agg(F.min("place").alias("least"))
-    gone = stash(labelled.join(least, "root").where("place.row <> least.row").select(F.col("place.row").alias("__row")), "gone")
-    return rows.join(_listed(gone), "__row", "left_anti").select(docs.columns)
+    joined = connected_components(links(sets, families(sets))).select(F.col("node").alias("key"), "component")
+    labelled = rows.select("key", place_of(docs).alias("place")).join(joined, "key", "left")
+    return one_of_each(rows, labelled.select("place", F.coalesce("component", "key").alias("root")))

@@ -31,8 +31,8 @@ from ..operators.components import connected_components
 from .workspace import stash, table
 
 SHINGLE, DISTANCE, SEED, PIVOTS = 4, 4, 42, 24
-#: Groups up to SMALL are compared by shifts, those over LARGE are cut again.
-SMALL, LARGE = 24, 8192
+#: Rows up to which a list of rows is broadcast. Groups up to SMALL are compared by shifts, those over LARGE are cut again.
+BROADCAST, SMALL, LARGE = 1 << 21, 24, 8192
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -82,14 +82,20 @@ def _pivots() -> np.ndarray:
     return np.random.default_rng(7).integers(0, 1 << 64, PIVOTS, np.uint64)
 
 
-def _near(fp: np.ndarray, far: np.ndarray, one: np.ndarray, to: np.ndarray, distance: int) -> np.ndarray:
-    """Which of the pairs (one, to) link: by the pivot table ``far`` first, then by all bits."""
+def survivors(far: np.ndarray, one: np.ndarray, to: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+    """Which of the pairs (one, to) the pivot table ``far`` doesn't discard: those apart by at most ``most`` in every coordinate."""
     kept = np.arange(len(one))
+    most = np.broadcast_to(most, len(one))
     for p in range(far.shape[1]):
-        apart = far[one[kept], p] - far[to[kept], p]
-        kept = kept[np.abs(apart) <= distance]
+        kept = kept[np.abs(far[one[kept], p] - far[to[kept], p]) <= most[kept]]
         if not kept.size:
             break
+    return kept
+
+
+def _near(fp: np.ndarray, far: np.ndarray, one: np.ndarray, to: np.ndarray, distance: int) -> np.ndarray:
+    """Which of the pairs (one, to) link: by the pivot table ``far`` first, then by all bits."""
+    kept = survivors(far, one, to, distance)
     return kept[np.bitwise_count(fp[one[kept]] ^ fp[to[kept]]) <= distance]
 
 
@@ -199,11 +205,32 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def place_of(docs: DataFrame) -> Column:
+    """Which row of a group comes first, for rows (row, a struct of the columns of ``docs``, id): the smallest ``doc_id``, nulls last; then by a hash of the row."""
+    doc_id = F.col("row.doc_id")
+    hashed = F.xxhash64(*(F.col(f"row.`{c}`") for c, kind in docs.dtypes if "map<" not in kind))
+    return F.struct(doc_id.isNull().alias("last"), doc_id.cast("long").alias("doc_id"), hashed.alias("hash"), "id")
+
+
+def one_of_each(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The ``row`` of the first of each group; ``rows`` is a written table (row, id), ``labelled`` has (place, root) of each."""
+    labelled = stash(labelled, "labelled")
+    least = labelled.groupBy("root").agg(F.min("place").alias("least"))
+    gone = stash(labelled.join(least, "root").where("place.id <> least.id").select("place.id"), "gone")
+    return rows.join(listed(gone), "id", "left_anti").select("row.*")
+
+
+def listed(rows: DataFrame) -> DataFrame:
+    """``rows``, marked to be broadcast if they are at most BROADCAST."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST else rows
+
+
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its component; rows with a null ``doc_id`` stay."""
-    found = near_duplicates(docs, shingle, distance)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    """One row of ``docs`` for each component: of the smallest ``doc_id``, nulls last; of equal ones, by a hash of the row."""
+    rows = stash(docs.select(F.struct(*docs.columns).alias("row")).withColumn("id", F.monotonically_increasing_id()), "rows")
+    found = components(stash(fingerprints(rows.select(F.col("id").alias("doc_id"), "row.text"), shingle), "prints"), distance)
+    roots = found.select(F.col("doc_id").alias("id"), F.col("component_id").alias("root"))
+    return one_of_each(rows, rows.select("id", place_of(docs).alias("place")).join(roots, "id").select("place", "root"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
