@@ -5,16 +5,23 @@ weights from labelled pages: those whose author marked the text by ``article`` o
 much likelier a tag, or a word in or out of a link, is inside the marked part than outside sets its
 weight. One linear scan finds the contiguous region of the highest sum. The region is then widened
 to the element that holds it (in a bare body to the like elements beside it), and what a page puts inside an article
-without being part of it is left out: elements that are, or are named as, menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, scripts or styles. Their words score nothing.
+without being part of it is left out; its words score nothing:
+
+* elements whose tag says so: menus, headers, footers, asides, forms, scripts, styles. The headlines in
+  an article's header stay;
+* elements named so by class, id or role. The labelled pages teach which names stand for text
+  and which don't; of names that they don't have, the last part that says something counts
+  (``comments-area``, ``page-footer``), against a list. An element that holds most of the words it competes with
+  isn't left out by a name that the list calls weak (``post-form``), by others only if nothing else holds words.
 
 Blocks are the runs of text between block-level tags, in page order, joined by a blank line. In a
 block character references are decoded and white space is one space; line breaks count as white space.
 
 A null or empty page, or one without words, has the text ''. Rows may repeat, keys may be null; an
 empty table gives no rows. Markup may be broken: tags without ends, stray ends and unquoted
-attributes are read as browsers do in the simple cases. Columns other than ``page_id``, ``url``
-and ``html`` are ignored.
+attributes are read as browsers do in the simple cases, and like them elements deeper than ``DEEPEST``
+aren't nested further. Reading takes time in proportion to the page, whatever its markup. Columns
+other than ``page_id``, ``url`` and ``html`` are ignored.
 """
 
 from __future__ import annotations
@@ -33,9 +40,12 @@ from .workspace import table
 #: Labelled pages that weights are fitted on, about.
 LABELLED = 2000
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z][^\s/>]*)")
+_SIGN = re.compile(r"[>\"']")
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Za-z][a-z]*")
+#: Elements within one another that a page's tree has at most, as in browsers.
+DEEPEST = 512
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SKIPPED = frozenset("script style noscript template svg iframe textarea title select button object canvas math".split())
@@ -43,59 +53,125 @@ _BLOCKS = frozenset("address article aside blockquote body caption center dd det
 _APART = frozenset("nav header footer aside form fieldset dialog menu head".split())
 _HOLDERS = frozenset("article main section div td".split())
 _MARKED = frozenset(("article", "main"))
+_HEADLINES = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+_LOWER = {c: c + 32 for c in range(65, 91)}
 _TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
-#: Parts of a class, id or role by which pages name what isn't the article.
-_NAMED_APART = frozenset("nav navbar navigation menu menus header masthead footer sidebar aside ad ads advert adverts advertisement banner sponsor sponsored promo cookie cookies consent notice notices popup modal newsletter subscribe subscription signup login form search comment comments disqus replies respond alert gdpr share sharing social related recommended breadcrumb breadcrumbs pagination pager widget copyright toolbar contentinfo complementary".split())
+#: What a class, id or role says of an element that isn't the article, surely or weakly; parts that say nothing.
+_NAMED_APART = frozenset("nav navbar navigation menu menus masthead footer sidebar ad ads advert adverts advertisement cookie cookies consent gdpr comments disqus replies respond popup modal newsletter breadcrumb breadcrumbs pagination pager contentinfo complementary".split())
+_NAMED_WEAKLY = frozenset("header aside banner sponsor sponsored promo notice notices subscribe subscription signup login form search comment alert share sharing social related recommended widget widgets copyright toolbar".split())
+_EMPTY_PARTS = frozenset("area list section wrapper wrap container box block content inner outer primary secondary main left right top bottom links buttons button posts items item bar panel group holder region zone slot".split())
 #: An open element of the first kind ends where one of the second starts.
 _ENDED_BY = {"p": _BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
 
 
 #: Names with one of these (has-sidebar, no-header) tell of a page's layout, not of a part.
-_LAYOUT = frozenset("has no with without".split())
+_LAYOUT = frozenset("has no with without layout".split())
+#: Words of labelled pages that a name must stand around to be learned, and the share of them inside below which it is none of the text.
+LEARNED, OUTSIDE = 50, 0.1
 
 
 class _Block:
-    __slots__ = ("text", "words", "path", "apart", "at", "linked")
+    __slots__ = ("text", "words", "path", "apart", "at", "linked", "tagged")
+
+    def __init__(self, text, words, linked, path, tagged, at):
+        self.text, self.words, self.linked, self.path, self.apart, self.tagged, self.at = text, words, linked, path, tagged, tagged, at
+
+
+class _Element:
+    __slots__ = ("tag", "names", "tagged", "named")
 
-    def __init__(self, text, words, linked, path, apart, at):
-        self.text, self.words, self.linked, self.path, self.apart, self.at = text, words, linked, path, apart, at
+    def __init__(self, tag: str, names: list[str], tagged: bool):
+        self.tag, self.names, self.tagged, self.named = tag, names, tagged, ""
 
 
-def _named_apart(tag: str, attributes: str) -> bool:
+def _names(tag: str, attributes: str) -> list[str]:
     if tag in ("html", "body", "main", "article") or "=" not in attributes:
-        return False
-    for m in _NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            parts = [p.lower() for p in _PARTS.findall(name)]
-            if not _LAYOUT.intersection(parts) and any(p in _NAMED_APART for p in parts):
-                return True
-    return False
-
-
-def _spare_wrappers(blocks: list[_Block], elements: list[str], named: set[int], tagged: set[int]) -> None:
-    """An element outside article and main isn't apart by its name if it holds most of their words; without such, if nothing else holds words."""
-    free = [b for b in blocks if tagged.isdisjoint(b.path)]
-    outer = lambda b: next((e for e in b.path if elements[e] in _MARKED), None)
-    marked = [b for b in free if outer(b) is not None]
-    if not named or not marked and not all(b.apart for b in free):
+        return []
+    return [name for m in _NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split()]
+
+
+def _named(names: list[str], learned: dict[str, float]) -> str:
+    """Whether names tell that an element is apart: "surely", "weakly" or ""."""
+    known = [learned[n.lower()] for n in names if n.lower() in learned]
+    if known and max(known) >= OUTSIDE:
+        return ""
+    said = "surely" if known else ""
+    for name in names:
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if name.lower() in learned or _LAYOUT.intersection(parts):
+            continue
+        telling = [p for p in parts if p not in _EMPTY_PARTS]
+        if telling and telling[-1] in _NAMED_APART:
+            said = "surely"
+        elif telling and telling[-1] in _NAMED_WEAKLY:
+            said = said or "weakly"
+    return said
+
+
+def _mark_named(blocks: list[_Block], elements: list[_Element], learned: dict[str, float]) -> None:
+    """Set ``apart`` of blocks in elements that are named apart, sparing those that hold most of what they compete with."""
+    for e in elements:
+        if e.names and not e.tagged:
+            e.named = _named(e.names, learned)
+    if not any(e.named for e in elements):
         return
-    held: Counter = Counter()
-    for b in marked or free:
-        limit = outer(b)
-        held.update({e: b.words for e in b.path if e in named and (limit is None or e < limit)})
-    total = sum(b.words for b in marked or free)
-    kept = named - {e for e, n in held.items() if 2 * n > total}
+    free = [b for b in blocks if not b.tagged]
+    marked = [b for b in free if any(elements[e].tag in _MARKED for e in b.path)]
+    competing = marked or free
+    total, held = sum(b.words for b in competing), Counter()
+    for b in competing:
+        held.update({e: b.words for e in b.path if elements[e].named})
+    around = set()  # named elements that hold an article or main
+    for b in marked:
+        first = next(k for k, e in enumerate(b.path) if elements[e].tag in _MARKED)
+        around.update(b.path[:first])
+    alone = all(any(elements[e].named and e not in around for e in b.path) for b in competing)
+    for e, n in held.items():
+        if 2 * n > total and (elements[e].named == "weakly" or e in around or alone):
+            elements[e].named = ""
     for b in free:
-        b.apart = not kept.isdisjoint(b.path)
+        b.apart = any(elements[e].named for e in b.path)
+
+
+def _tag_end(page: str, at: int, ends: dict[int, int], last: dict[str, int]) -> int:
+    """Place of the ``>`` that ends a tag, those in quotes passed over; -1 if none. ``ends`` holds what was found from each quote."""
+    way = []
+    while True:
+        m = _SIGN.search(page, at)
+        if not m:
+            found = -1
+            break
+        q = m.start()
+        if page[q] == ">":
+            found = q
+            break
+        if q in ends:
+            found = ends[q]
+            break
+        way.append(q)
+        if q >= last[page[q]]:  # the quote never closes
+            found = -1
+            break
+        at = page.index(page[q], q + 1) + 1
+    ends.update(dict.fromkeys(way, found))
+    return found
 
 
-def read_page(page: str) -> tuple[list[_Block], list[tuple[int, str]], list[str]]:
+def read_page(page: str, learned: dict[str, float] | None = None) -> tuple[list[_Block], list[tuple[int, str]], list[str]]:
     """Blocks; (place, tag) of all tags; tag of each element. A block's path numbers its elements."""
-    blocks, tags, elements = [], [], []
-    named, tagged = set(), set()
-    stack: list[tuple[int, str, bool]] = []  # (element, tag, apart)
+    blocks, tags, elements = _read(page, learned)
+    return blocks, tags, [e.tag for e in elements]
+
+
+def _read(page: str, learned: dict[str, float] | None) -> tuple[list[_Block], list[tuple[int, str]], list[_Element]]:
+    blocks: list[_Block] = []
+    tags: list[tuple[int, str]] = []
+    elements: list[_Element] = []
+    stack: list[tuple[int, str, bool]] = []  # (element, tag, apart by its tag or one around it)
     held: list[str] = []
-    linked = place = 0
+    linked = place = links = 0
+    lower = None
+    ends, last = {}, {c: page.rfind(c) for c in "\"'>"}
 
     def flush():
         nonlocal held, linked, place
@@ -106,27 +182,44 @@ def read_page(page: str) -> tuple[list[_Block], list[tuple[int, str]], list[str]
         held, linked = [], 0
 
     def close(k: int):
+        nonlocal links
         if any(t in _BLOCKS for _, t, _ in stack[k:]):
             flush()
+        links -= sum(t == "a" for _, t, _ in stack[k:])
         del stack[k:]
 
+    def say(text: str):
+        nonlocal linked
+        held.append(text)
+        if links:
+            linked += len(text.split())
+
     at, n = 0, len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        text = page[at : m.start() if m else n]
-        if text:
-            held.append(text)
-            if any(t == "a" for _, t, _ in stack):
-                linked += len(text.split())
+        m = _OPEN.search(page, at) if last[">"] >= at else None
         if not m:
+            say(page[at:])
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if m.start() > at:
+            say(page[at : m.start()])
+        start, sign = m.start(), m[0]
+        if sign == "<!--":
+            stop = page.find("-->", start + 4)
+            at = stop + 3 if stop >= 0 else n
             continue
-        end, attributes = m[1] or m[4], m[3] or m[6] or ""
+        if sign in ("<!", "<?"):
+            stop = page.find(">", start)
+            at = stop + 1 if stop >= 0 else n
+            continue
+        stop = _tag_end(page, m.end(), ends, last)
+        if stop < 0:  # a quote never closes: the tag ends at the next sign that may end it
+            stop = page.find(">", m.end())
+            if stop < 0:
+                say(page[start:])
+                break
+        at, tag, attributes = stop + 1, sign.lstrip("</").lower(), page[m.end() : stop]
         tags.append((place, tag))
-        if end:
+        if sign[1] == "/":
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][1] == tag), -1)
             if k >= 0:
                 close(k)
@@ -134,8 +227,11 @@ def read_page(page: str) -> tuple[list[_Block], list[tuple[int, str]], list[str]
                 flush()
             continue
         if tag in _SKIPPED and not attributes.endswith("/"):
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = stop.end() if stop else n
+            if lower is None:  # letters beyond ASCII may change their number of characters
+                lower = page.translate(_LOWER)
+            stop = lower.find("</" + tag, at)
+            stop = page.find(">", stop) if stop >= 0 else -1
+            at = stop + 1 if stop >= 0 else n
             held.append(" ")
             continue
         if tag == "br":
@@ -149,20 +245,26 @@ def read_page(page: str) -> tuple[list[_Block], list[tuple[int, str]], list[str]
                 break
         if tag in _BLOCKS:
             flush()
-        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS:
+        if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS or len(stack) >= DEEPEST:
             continue
-        if tag in _APART:
-            tagged.add(len(elements))
-        elif _named_apart(tag, attributes):
-            named.add(len(elements))
-        apart = bool(stack and stack[-1][2]) or len(elements) in tagged or len(elements) in named
-        elements.append(tag)
-        stack.append((len(elements) - 1, tag, apart))
+        inner = bool(stack and stack[-1][2])
+        if tag in _HEADLINES and inner and stack[-1][1] in ("header", "hgroup", "div") and _in_marked_header(stack, elements):
+            inner = False
+        tagged = tag in _APART
+        links += tag == "a"
+        elements.append(_Element(tag, _names(tag, attributes), tagged))
+        stack.append((len(elements) - 1, tag, inner or tagged))
     flush()
-    _spare_wrappers(blocks, elements, named, tagged)
+    _mark_named(blocks, elements, learned or {})
     return blocks, tags, elements
 
 
+def _in_marked_header(stack: list[tuple[int, str, bool]], elements: list[_Element]) -> bool:
+    """Whether the open elements are an article or main, its header, and nothing else that is apart."""
+    apart = [t for e, t, _ in stack if elements[e].tagged]
+    return apart == ["header"] and any(t in _MARKED for _, t, _ in stack[: next(k for k, x in enumerate(stack) if x[1] == "header")])
+
+
 def count_features(page: str) -> Counter:
     """(feature, inside) of a labelled page; features are tags, and words in and out of links."""
     blocks, tags, elements = read_page(page)
@@ -176,6 +278,25 @@ def count_features(page: str) -> Counter:
     return seen
 
 
+def count_names(page: str) -> Counter:
+    """(name, inside): words of a labelled page around which a class, id or role stands, in and out of its article."""
+    blocks, _, elements = _read(page, None)
+    seen: Counter = Counter()
+    for b in blocks:
+        inside = any(elements[e].tag in _MARKED for e in b.path) and not b.tagged
+        for name in {x.lower() for e in b.path for x in elements[e].names}:
+            seen[name, inside] += b.words
+    return seen
+
+
+def fit_names(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
+    """The share of words inside the text, for names that stand around LEARNED words or more."""
+    total: Counter = Counter()
+    for (name, _), n in counts.items():
+        total[name] += n
+    return {name: counts.get((name, True), 0) / n for name, n in total.items() if n >= LEARNED}
+
+
 def fit_weights(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
     """Log-odds of being inside, words held above zero and tags below."""
     total = {i: sum(n for (_, j), n in counts.items() if i == j) for i in (True, False)}
@@ -208,9 +329,9 @@ def best_region(blocks: list[_Block], tags: list[tuple[int, str]], weights: dict
     return region
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The main text of a page."""
-    blocks, tags, elements = read_page(page or "")
+def extract(page: str | None, weights: dict[str, float], learned: dict[str, float] | None = None) -> str:
+    """The main text of a page; ``learned`` has the shares of :func:`fit_names`."""
+    blocks, tags, elements = read_page(page or "", learned)
     first, last = best_region(blocks, tags, weights)
     while first <= last and blocks[first].apart:
         first += 1
@@ -231,34 +352,39 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     return "\n\n".join(b.text for b in region)
 
 
-def learn_weights(pages: DataFrame, labelled: int = LABELLED) -> dict[str, float]:
-    """Weights from about ``labelled`` of the pages that mark their text, drawn by a hash."""
+def learn_weights(pages: DataFrame, labelled: int = LABELLED) -> tuple[dict[str, float], dict[str, float]]:
+    """Weights, and the shares of names, from about ``labelled`` of the pages that mark their text, drawn by a hash."""
     marked = pages.where(F.col("html").rlike("(?i)<(article|main)[\\s>]")).select("html")
     n = marked.count()
     if not n:
-        return PLAIN_WEIGHTS
+        return PLAIN_WEIGHTS, {}
     sample = marked.where(F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < min(1.0, labelled / n) * (1 << 20))
 
     def count(batches):
         seen: Counter = Counter()
         for batch in batches:
             for page in batch.column("html"):
-                seen.update(count_features(page.as_py()))
+                page = page.as_py()
+                seen.update({("tag", *k): v for k, v in count_features(page).items()})
+                seen.update({("name", *k): v for k, v in count_names(page).items()})
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in seen], pa.string()), pa.array([i for _, i in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], ["feature", "inside", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*seen, strict=True)), pa.array(list(seen.values()), pa.int64())], ["kind", "feature", "inside", "n"])
 
-    rows = sample.mapInArrow(count, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()  # a row or two for each tag of HTML
-    counts = {(r["feature"], r["inside"]): r["n"] for r in rows}
-    return fit_weights({(f, False): 0 for f in ("word", "linked word")} | counts)
+    counted = sample.mapInArrow(count, "kind string, feature string, inside boolean, n long").groupBy("kind", "feature", "inside").agg(F.sum("n").alias("n"))
+    counts: dict[str, dict] = {"tag": {(f, False): 0 for f in ("word", "linked word")}, "name": {}}
+    for r in counted.collect():  # tags and names of the sample
+        counts[r["kind"]][r["feature"], r["inside"]] = r["n"]
+    return fit_weights(counts["tag"]), fit_names(counts["name"])
 
 
-def extract_text(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """page_id, url, text and n_chars of each page."""
-    weights = weights or learn_weights(pages)
+def extract_text(pages: DataFrame, weights: dict[str, float] | None = None, learned: dict[str, float] | None = None) -> DataFrame:
+    """page_id, url, text and n_chars of each page; weights and names are learned from the pages unless they are given."""
+    if weights is None:
+        weights, learned = learn_weights(pages)
 
     def run(batches):
         for batch in batches:
-            texts = [extract(p.as_py(), weights) for p in batch.column("html")]
+            texts = [extract(p.as_py(), weights, learned) for p in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -105,13 +105,14 @@ class CharacterModel:
         at = np.minimum(np.searchsorted(table_of[0], key), len(table_of[0]) - 1)
         return table_of[0][at] == key, table_of[1][at]
 
-    def log2(self, keys: list[np.ndarray]) -> np.ndarray:
-        """Log-probability of the character at each position, after those before it."""
-        p = np.full(len(keys[0]), self.floor)
+    def log2(self, keys: list[np.ndarray], at: np.ndarray | None = None) -> np.ndarray:
+        """Log-probability of the character at each position (of ``at``), after those before it."""
+        at = np.arange(len(keys[0])) if at is None else at
+        p = np.full(len(at), self.floor)
         for k in range(1, self.order + 1):
-            known, value = self._find(self.grams[k - 1], keys[k])
+            known, value = self._find(self.grams[k - 1], keys[k][at])
             # the context of k characters is the k - 1 before them
-            context = np.concatenate([np.zeros(1, np.uint64), keys[k - 1][:-1]]) if k > 1 else keys[0]
+            context = np.where(at > 0, keys[k - 1][at - 1], 0)
             seen, back = self._find(self.contexts[k - 1], context)
             p = np.where(known, value, np.where(seen, back + p, p))
         return p
@@ -137,9 +138,11 @@ class LanguageModel:
         inside = np.ones(len(codes), bool)
         for k in range(self.order - 1):
             inside[first + k] = False  # marks of the start are given, not predicted
+        # the last ORDER characters decide a probability, so each kind of them is looked up once
+        _, at, kind = np.unique(keys[self.order], return_index=True, return_inverse=True)
         out = np.empty((len(words), len(self.models)), np.float32)
         for j, model in enumerate(self.models):
-            out[:, j] = np.add.reduceat(np.where(inside, model.log2(keys), 0), first)
+            out[:, j] = np.add.reduceat(np.where(inside, model.log2(keys, at)[kind], 0), first)
         return out, np.where(length > 0, length + 1, 0)
 
 

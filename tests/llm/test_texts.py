@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -49,6 +50,64 @@ def test_main_text(weights, html, want):
     assert html_text.extract(html, weights) == want
 
 
+@pytest.mark.parametrize("name", ["post-form", "ad-hoc", "notice-of-award", "banner-story", "search-results-article", "alert-free", "research related-work", "research search-theory", "siteHeader"])
+def test_names_alone_do_not_discard_a_text(weights, name):
+    text = " ".join(["word"] * 80)
+    for inner in (f"<div class='{name}'><p>{text}</p></div>", f"<main><div class='{name}'><p>{text}</p></div></main>"):
+        page = f"<body><nav><a href=x>menu</a></nav>{inner}<div class=comments-area>no no no</div><div id=siteFooter>no</div><footer>no</footer></body>"
+        assert html_text.extract(page, weights) == text
+
+
+@pytest.mark.parametrize("name", ["comments-area", "page-footer", "ad", "sidebar-left widget", "cookieNotice", "social-links", "related-posts", "navMenu"])
+def test_named_parts_are_left_out(weights, name):
+    text = " ".join(["word"] * 60)
+    for page in (f"<article><p>{text}</p><div class='{name}'><p>no no no</p></div></article>", f"<body><div id=story><p>{text}</p></div><div class='{name}'><p>no no no</p></div></body>"):
+        assert html_text.extract(page, weights) == text
+    many = " ".join(["no"] * 300)
+    if name in ("comments-area", "ad"):
+        assert html_text.extract(f"<body><div id=story><p>{text}</p></div><div class='{name}'><p>{many}</p></div></body>", weights) == text
+
+
+def test_names_are_learned():
+    page = "<body><div class=zap>" + "no " * 30 + "</div><main><div class='story-form'>" + "yes " * 40 + "</div></main></body>"
+    counts: dict = {}
+    for _ in range(3):
+        for k, n in html_text.count_names(page).items():
+            counts[k] = counts.get(k, 0) + n
+    learned = html_text.fit_names(counts)
+    assert learned == {"zap": 0.0, "story-form": 1.0}
+    weights = html_text.PLAIN_WEIGHTS
+    assert html_text.extract("<body><div class=zap>no no no</div><p>a b c d</p><div class='story-form'>e f g h i j k</div></body>", weights, learned) == "a b c d\n\ne f g h i j k"
+
+
+def test_headlines_of_an_article_stay(weights):
+    page = "<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>by me</p><nav><h2>no</h2></nav></header><p>" + "w " * 20 + "</p></article></body>"
+    assert html_text.extract(page, weights) == "Title\n\n" + " ".join(["w"] * 20)
+
+
+@pytest.mark.parametrize("page", ["<p " * 300_000, "<p>" + "a <b " * 200_000, "<p " * 200_000 + '"', "<a b='" * 100_000 + ">x", "<a b='c\">" * 100_000, "<div>x" * 60_000, "<script>" + "</script" * 100_000, "<!-- " * 100_000 + ">", "&#" * 200_000, "<div class='" + "ad " * 100_000 + "'>x</div>", "<li>" * 50_000 + "</ul>" * 50_000, "<a>" * 50_000 + "x <b>" * 50_000])
+def test_hostile_pages_take_linear_time(weights, page):
+    began = time.process_time()
+    html_text.extract(page, weights)
+    assert time.process_time() - began < 8 * max(1.0, len(page) / 1e6)
+
+
+def test_best_region_against_all_regions():
+    rng = random.Random(12)
+    for _ in range(200):
+        parts = [rng.choice(["<p>", "<li>", "<h2>", "<div>", "<a href=x>", "</a>", "</div>", "word ", "two words ", "<br>", "<nav>n</nav>"]) for _ in range(rng.randrange(1, 25))]
+        blocks, tags, _ = html_text.read_page("".join(parts))
+        weights = {"word": rng.uniform(0.3, 2), "linked word": 0.25, **{t: -rng.uniform(0.02, 3) for t in ("p", "li", "h2", "div", "br", "nav", "inline")}}
+
+        def total(first, last):
+            words = sum((b.words - b.linked) * weights["word"] + b.linked * weights["linked word"] for b in blocks[first : last + 1] if not b.apart)
+            return words + sum(weights.get(t, weights["inline"]) for place, t in tags if first < place <= last)
+
+        first, last = html_text.best_region(blocks, tags, weights)
+        best = max((total(a, b) for a in range(len(blocks)) for b in range(a, len(blocks))), default=0.0)
+        assert (last < first and best <= 1e-9) or abs(total(first, last) - best) < 1e-9
+
+
 def test_pages(spark):
     rows = [(1, "u", "<article><p>a b</p></article><nav>no</nav>", "x"), (None, None, None, None), (1, "u", "<article><p>a b</p></article><nav>no</nav>", "x")]
     got = sorted((tuple(r) for r in html_text.extract_text(spark.createDataFrame(rows, PAGE)).collect()), key=str)
@@ -240,6 +299,51 @@ def test_languages(spark):
     assert language.predict(docs.limit(0)).count() == 0
 
 
+def test_kneser_ney_against_its_formula():
+    """Each probability again from the counts, by recursion, and whole words' scores from these."""
+    rng, order = random.Random(7), 3
+    words = {lang: [spoken(rng, lang, 1).strip(".,") for _ in range(40)] for lang in SPEECH}
+    counts: dict = {}
+    for lang, some in words.items():
+        grams = counts.setdefault(lang, {})
+        for w in some:
+            framed = "\x02" * (order - 1) + w + "\x03"
+            for k in range(len(w) + 1):
+                grams[framed[k : k + order]] = grams.get(framed[k : k + order], 0) + 1
+    alphabet = len({c for g in counts.values() for x in g for c in x}) + 1
+
+    def tables(grams):
+        out = {order: grams}
+        for k in range(order - 1, 0, -1):
+            out[k] = {}
+            for g in out[k + 1]:
+                out[k][g[1:]] = out[k].get(g[1:], 0) + 1
+        return out
+
+    def p(by, history, c):
+        k = len(history) + 1
+        if k > order:
+            return p(by, history[1:], c)
+        lower = p(by, history[1:], c) if history else 1 / alphabet
+        here = {g: n for g, n in by[k].items() if g[:-1] == history}
+        if not here:
+            return lower
+        ones, twos = (sum(n == j for n in by[k].values()) for j in (1, 2))
+        d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos else 0.5
+        total = sum(here.values())
+        return max(0.0, here.get(history + c, 0) - d * (history + c in here)) / total + d * len(here) / total * lower
+
+    model = language.LanguageModel(counts, order)
+    asked = ["ban", "otto", "bx", "q", "abbatod", words["xx"][0]]
+    got, chars = model.score_words(asked)
+    for j, lang in enumerate(model.languages):
+        by = tables(counts[lang])
+        for i, w in enumerate(asked):
+            framed = "\x02" * (order - 1) + w + "\x03"
+            want = sum(math.log2(p(by, framed[k : k + order - 1], framed[k + order - 1])) for k in range(len(w) + 1))
+            assert got[i, j] == pytest.approx(want, abs=1e-3) and chars[i] == len(w) + 1
+
+
 def test_probabilities_sum_to_one():
     model = language.CharacterModel({"\x02\x02a": 4, "\x02ab": 2, "\x02aa": 1, "aab": 1, "ab\x03": 3, "aa\x03": 1}, 3, 5)
     for before in ("\x02\x02", "\x02a", "ab", "zz"):
