@@ -93,8 +93,7 @@ def test_frames_round_trip():
     x = samples()
     frames = motion_jpeg.encode_frames(x)
     assert (motion_jpeg.decode_frames(frames) == x).all()
-    d = motion_jpeg._predict(x.reshape(-1, motion_jpeg.SIDE, motion_jpeg.SIDE)).reshape(len(x), -1)
-    assert all(motion_jpeg._differences(f) == row.tolist() for f, row in zip(frames, d))
+    assert all((motion_jpeg.decode_jpeg(f).ravel() == row).all() for f, row in zip(frames, x))
 
 
 def test_other_huffman_tables():
@@ -105,6 +104,102 @@ def test_other_huffman_tables():
     assert (motion_jpeg.decode_frames([other, frame]) == x[0]).all()
 
 
+def baseline_jpeg(planes, sampling, quantizer, every=0, tables=True, size=None):
+    """A baseline JPEG, written the plain way; ``planes`` hold whole units."""
+    codes = {}
+    for key, (counts, symbols) in motion_jpeg._USUAL_TABLES.items():
+        code, k, codes[key] = 0, 0, {}
+        for length, n in enumerate(bytes.fromhex(counts), 1):
+            for symbol in bytes.fromhex(symbols)[k : k + n]:
+                codes[key][symbol] = f"{code:0{length}b}"
+                code += 1
+            k, code = k + n, code << 1
+
+    def extra(v):
+        n = abs(v).bit_length()
+        return n, f"{v if v >= 0 else v + (1 << n) - 1:0{n}b}" if n else ""
+
+    def block_bits(block, dc, ac, before):
+        c = motion_jpeg._COSINES
+        flat = np.rint((c @ (block.astype(float) - 128) @ c.T).ravel() / quantizer).astype(int)[motion_jpeg._ZIGZAG]
+        n, bits = extra(int(flat[0]) - before)
+        out, run = [codes[0, dc][n], bits], 0
+        for v in flat[1:].tolist():
+            if not v:
+                run += 1
+                continue
+            while run > 15:
+                out.append(codes[1, ac][0xF0])
+                run -= 16
+            n, bits = extra(v)
+            out += [codes[1, ac][run << 4 | n], bits]
+            run = 0
+        return "".join([*out, codes[1, ac][0] if run else ""]), int(flat[0])
+
+    h, v = sampling[0]
+    down, across = planes[0].shape[0] // (8 * v), planes[0].shape[1] // (8 * h)
+    parts, bits, before = [], [], [0] * len(planes)
+    for unit in range(down * across):
+        if every and unit and unit % every == 0:
+            parts.append("".join(bits))
+            bits, before = [], [0] * len(planes)
+        for k, (plane, (n, m)) in enumerate(zip(planes, sampling)):
+            for y in range(m):
+                for x in range(n):
+                    a, b = 8 * (unit // across * m + y), 8 * (unit % across * n + x)
+                    some, before[k] = block_bits(plane[a : a + 8, b : b + 8], min(k, 1), min(k, 1), before[k])
+                    bits.append(some)
+    parts.append("".join(bits))
+    scan = b""
+    for k, bits in enumerate(parts):
+        bits += "1" * (-len(bits) % 8)
+        scan += (bytes([0xFF, 0xD0 + (k - 1) % 8]) if k else b"") + int(bits, 2).to_bytes(len(bits) // 8).replace(b"\xff", b"\xff\x00")
+    height, width = size or planes[0].shape
+    seg = motion_jpeg._segment
+    head = b"\xff\xd8" + seg(0xE0, b"AVI1\0\0\0\0") + seg(0xDB, b"\0" + bytes([quantizer] * 64))
+    if tables:
+        head += b"".join(seg(0xC4, bytes([c << 4 | k]) + bytes.fromhex(n) + bytes.fromhex(s)) for (c, k), (n, s) in motion_jpeg._USUAL_TABLES.items())
+    if every:
+        head += seg(0xDD, every.to_bytes(2))
+    frame = bytes([8]) + height.to_bytes(2) + width.to_bytes(2) + bytes([len(planes)]) + b"".join(bytes([k + 1, n << 4 | m, 0]) for k, (n, m) in enumerate(sampling))
+    scans = bytes([len(planes)]) + b"".join(bytes([k + 1, 0x11 * min(k, 1)]) for k in range(len(planes))) + bytes([0, 63, 0])
+    return head + seg(0xC0, frame) + seg(0xDA, scans) + scan + b"\xff\xd9"
+
+
+def picture(rng, height, width):
+    smooth = np.cumsum(np.cumsum(rng.normal(0, 1, (height, width)), axis=0), axis=1)
+    return np.clip(128 + 60 * smooth / np.abs(smooth).max() + rng.normal(0, 6, (height, width)), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("every, tables", [(0, True), (3, False)])
+def test_baseline_frames(every, tables):
+    rng = np.random.default_rng(2)
+    grey, fine = picture(rng, 24, 40), picture(rng, 32, 48)
+    got = motion_jpeg.decode_jpeg(baseline_jpeg([grey], [(1, 1)], 2, every, tables, (21, 37)))
+    assert got.shape == (21, 37) and np.abs(got.astype(int) - grey[:21, :37]).max() <= 6
+    colour = [fine, picture(rng, 16, 24), picture(rng, 16, 24)]
+    got = motion_jpeg.decode_jpeg(baseline_jpeg(colour, [(2, 2), (1, 1), (1, 1)], 2, every, tables))
+    assert got.shape == fine.shape and np.abs(got.astype(int) - fine).max() <= 6
+    assert sorted(motion_jpeg._ZIGZAG.tolist()) == list(range(64)) and motion_jpeg._ZIGZAG[:6].tolist() == [0, 1, 8, 16, 9, 2]
+    for counts, symbols in motion_jpeg._USUAL_TABLES.values():
+        assert sum(bytes.fromhex(counts)) == len(set(bytes.fromhex(symbols))) == len(bytes.fromhex(symbols))
+
+
+def test_foreign_and_broken_files(spark):
+    """Shots of baseline frames, and a row with its error for each file that can't be read."""
+    rng = np.random.default_rng(3)
+    dark, light = ([np.clip(rng.normal(m, 20, (16, 24)), 0, 255).astype(np.uint8) for _ in range(6)] for m in (40, 200))
+    avi = motion_jpeg.write_avi([baseline_jpeg([x], [(1, 1)], 4) for x in dark + light + dark])
+    files = [(1, avi), (2, None), (3, b""), (4, b"RIFF0000WAVE"), (5, avi[:300]), (6, avi.replace(b"\xff\xc0", b"\xff\xc2")), (7, avi[:-12] + b"\xff" * 12), (8, motion_jpeg._avi_of("x"))]
+    media = spark.createDataFrame([(*f, "e") for f in files], "doc_id long, media binary, error string")
+    got = {r["doc_id"]: r for r in motion_jpeg.describe_media(media).collect()}
+    assert got[1]["feature"].startswith("18/3/") and got[1]["payload_bytes"] == 18 * 16 * 24
+    assert [(c["first_frame"], c["frames"], c["end_s"]) for c in got[1]["clips"]] == [(0, 6, 0.24), (6, 6, 0.48), (12, 6, 0.72)]
+    assert all(got[k]["error"] and got[k]["payload_sha256"] is None for k in (2, 3, 4, 5, 6, 7)) and not got[8]["error"]
+    rows = motion_jpeg.clips(media).collect()
+    assert sorted(r["doc_id"] for r in rows) == [1, 1, 1, 2, 3, 4, 5, 6, 7, 8] and all((r["clip"] is None) == (r["error"] is not None) for r in rows)
+
+
 def test_avi_index():
     frames = motion_jpeg.encode_frames(samples())
     avi = motion_jpeg.write_avi(frames)
