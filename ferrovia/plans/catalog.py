@@ -64,7 +64,7 @@ _CHECKS = {
 SELECT 'windows by trip' AS name, true AS ok, many AS n_bad, many || ' several windows, ' || one || ' one (' || printf('%.1f', round(100.0 * many / (many + one), 1)) || '%)' AS detail FROM c""",
     ),
     "v09_route_type_consistency": (checks.route_type_consistency, _check_sql("one route_type by agency", "SELECT agency_id FROM dirty_routes GROUP BY agency_id HAVING count(DISTINCT route_type) > 1", "agency_id")),
-    "v10_calendar_dates_present": (checks.calendar_dates_present, "SELECT 'calendar_dates has rows' AS name, false AS ok, CAST(1 AS BIGINT) AS n_bad, '' AS detail"),
+    "v10_calendar_dates_present": (checks.calendar_dates_present, "SELECT 'calendar_dates has rows' AS name, count(*) > 0 AS ok, CAST(count(*) = 0 AS BIGINT) AS n_bad, '' AS detail FROM dirty_calendar_dates"),
     "v11_orphan_agencies": (checks.orphan_agencies, _check_sql("routes.agency_id in agency", _orphans("dirty_routes", "agency", "agency_id"), "agency_id")),
     "v12_trips_without_stop_times": (
         checks.trips_without_stop_times,
@@ -299,14 +299,40 @@ def names(spark, sf_dir):
     return sample_feed(spark, sf_dir).stops.select("stop_id", normalize_name(F.col("stop_name")).alias("name"))
 
 
-@_query("token_sort_ratio")
+def _ratio_sql(pairs: str) -> str:
+    """ratios(a, b, ratio) of the pairs (a, b) of names: the longest common subsequence as a row of bits, a character at a time."""
+    tokens = "array_to_string(list_sort(list_filter(string_split_regex({0}, '\\s+'), lambda t: t <> '')), ' ')"
+    bits = "(CAST(1 AS HUGEINT) << len(y)) - 1"
+    met = "s & coalesce(list_sum(list_transform(range(1, len(y) + 1), lambda k: CASE WHEN y[k] = x[i + 1] THEN CAST(1 AS HUGEINT) << CAST(k - 1 AS INT) ELSE CAST(0 AS HUGEINT) END)), 0)"
+    return f""", asked AS ({pairs}), sorted_names AS (SELECT DISTINCT {tokens.format("a")} AS x, {tokens.format("b")} AS y FROM asked),
+lcs(x, y, i, s) AS (SELECT x, y, 0, {bits} FROM sorted_names
+    UNION ALL SELECT x, y, i + 1, ((s + u) | (s - u)) & ({bits}) FROM (SELECT x, y, i, s, {met} AS u FROM lcs WHERE i < len(x))),
+ratios AS (SELECT a, b, CASE WHEN len(x) + len(y) = 0 THEN 100.0 ELSE 200.0 * (len(y) - bit_count(s)) / (len(x) + len(y)) END AS ratio
+    FROM asked JOIN lcs ON x = {tokens.format("a")} AND y = {tokens.format("b")} WHERE i = len(x))"""
+
+
+_NAME = "regexp_replace(lower(trim(stop_name)), '^(?:(?:c\\. c\\. metro |c\\.c\\. metro |cetram metro |base metro |base cetram |mb |metro |base |cetram )\\s*)+', '')"
+
+
+@_query("token_sort_ratio", f", n AS (SELECT DISTINCT {_NAME} AS name FROM stops)" + _ratio_sql("SELECT p.name AS a, q.name AS b FROM n p JOIN n q ON split_part(p.name, ' ', 1) = split_part(q.name, ' ', 1)") + " SELECT a, b, round(ratio, 6) AS ratio FROM ratios")
 def name_similarity(spark, sf_dir):
     n = sample_feed(spark, sf_dir).stops.select(normalize_name(F.col("stop_name")).alias("a")).distinct()
     pairs = n.join(n.withColumnRenamed("a", "b"), F.split_part("a", F.lit(" "), F.lit(1)) == F.split_part("b", F.lit(" "), F.lit(1)))
     return pairs.select("a", "b", F.round(token_sort_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
-@_query("crosswalk")
+@_query(
+    "crosswalk",
+    _NEAR
+    + _CLUSTERS
+    + f", named AS (SELECT stop_id, stop_name, stop_ordinal, {_NAME} AS name FROM stops)"
+    + _ratio_sql("SELECT DISTINCT p.name AS a, q.name AS b FROM near JOIN named p ON p.stop_ordinal = near.a JOIN named q ON q.stop_ordinal = near.b WHERE distance_m <= 150")
+    + """, alike AS (SELECT near.a AS x, near.b AS y FROM near JOIN named p ON p.stop_ordinal = near.a JOIN named q ON q.stop_ordinal = near.b JOIN ratios r ON r.a = p.name AND r.b = q.name WHERE distance_m <= 150 AND ratio >= 85),
+joined(k, r) AS (SELECT stop_ordinal, stop_ordinal FROM stops UNION SELECT l.y, j.r FROM joined j JOIN (SELECT x, y FROM alike UNION ALL SELECT y, x FROM alike) l ON l.x = j.k),
+stations AS (SELECT k, min(r) AS station FROM joined GROUP BY k)
+SELECT stop_id, stop_name, 'station_' || geo_cluster || '_' || (dense_rank() OVER (PARTITION BY geo_cluster ORDER BY station) - 1) AS station_id, geo_cluster
+FROM named JOIN clusters ON clusters.k = stop_ordinal JOIN stations ON stations.k = stop_ordinal""",
+)
 def crosswalk(spark, sf_dir):
     return stations.build_crosswalk(sample_feed(spark, sf_dir).stops)
 
@@ -371,22 +397,51 @@ def transition_probs(spark, sf_dir):
     return _rounded(flow.transition_probs(_graph(spark, sf_dir)[1]), "p")
 
 
-@_query("flow_load")
+def _walk_sql(damping: float, steps: int) -> str:
+    """settled(node_id, x): the walk's shares after so many steps, each a product with the whole matrix; scaled once, in the end."""
+    return (
+        _PROBS
+        + f""", whole AS (SELECT count(*) AS n FROM nodes),
+dense AS (SELECT a.node_id AS s, b.node_id AS d, {damping} * coalesce(p, 0.0) + (1 - {damping}) / n AS m FROM nodes a CROSS JOIN nodes b CROSS JOIN whole LEFT JOIN probs ON src = a.node_id AND dst = b.node_id),
+walk(k, node_id, x) AS (SELECT 0, node_id, CAST(1 AS DOUBLE) FROM nodes UNION ALL SELECT k + 1, d, sum(x * m) FROM walk JOIN dense ON s = node_id WHERE k < {steps} GROUP BY k, d),
+settled AS (SELECT node_id, x / sum(x) OVER () AS x FROM walk WHERE k = {steps})"""
+    )
+
+
+@_query("flow_load", _walk_sql(0.85, 200) + " SELECT node_id, round(x, 8) AS L_i_flujo, true AS converged FROM settled")
 def flow_load(spark, sf_dir):
     nodes_, edges = _graph(spark, sf_dir)
-    return flow.stationary_flow(edges, nodes_)
+    return flow.stationary_flow(edges, nodes_).select("node_id", F.round("L_i_flujo", 8).alias("L_i_flujo"), "converged")
 
 
-@_query("flow_load_undamped")
+@_query("flow_load_undamped", _walk_sql(1.0, 600) + " SELECT node_id, round(x, 6) AS L_i_flujo, true AS converged FROM settled")
 def flow_load_undamped(spark, sf_dir):
     nodes_, edges = _graph(spark, sf_dir)
-    return flow.stationary_flow(edges, nodes_, damping=1.0, tol=1e-8, max_iter=1000)
+    return flow.stationary_flow(edges, nodes_, damping=1.0, tol=1e-10, max_iter=5000).select("node_id", F.round("L_i_flujo", 6).alias("L_i_flujo"), "converged")
+
 
+def _betweenness_sql(k: int) -> str:
+    """Walks of least length between two nodes are their shortest paths; those through a node are products of two."""
+    return f""", arcs AS (SELECT DISTINCT source AS src, target AS dst FROM edges WHERE edge_type = 'servicio' AND source <> target),
+roots AS (SELECT node_id FROM nodes ORDER BY md5(node_id || ':0'), node_id LIMIT {k}), n AS (SELECT count(*) AS n FROM nodes), used AS (SELECT count(*) AS used FROM roots),
+walks(root, v, k, ways) AS (SELECT node_id, node_id, 0, CAST(1 AS DOUBLE) FROM nodes UNION ALL SELECT root, dst, k + 1, sum(ways) FROM walks JOIN arcs ON src = v WHERE k < 10 GROUP BY root, dst, k),
+paths AS (SELECT root, v, min(k) AS d, arg_min(ways, k) AS ways FROM walks GROUP BY root, v),
+shares AS (SELECT a.v AS node_id, sum(a.ways * b.ways / c.ways) AS x FROM roots r JOIN paths a ON a.root = r.node_id JOIN paths b ON b.root = a.v JOIN paths c ON c.root = r.node_id AND c.v = b.v AND c.d = a.d + b.d
+    WHERE a.v <> r.node_id AND b.v <> a.v GROUP BY a.v)
+SELECT node_id, round(coalesce(x, 0.0) * n / used / ((n - 1) * (n - 2)), 9) AS L_i_topo FROM nodes LEFT JOIN shares USING (node_id) CROSS JOIN n CROSS JOIN used"""
 
-@_query("betweenness")
+
+@_query("betweenness", _betweenness_sql(20))
 def betweenness(spark, sf_dir):
+    """From 20 pivots, fewer than there are nodes."""
     nodes_, edges = _graph(spark, sf_dir)
-    return centrality.betweenness(edges, nodes_, k=100)
+    return centrality.betweenness(edges, nodes_, k=20).withColumn("L_i_topo", F.round("L_i_topo", 9))
+
+
+@_query("betweenness_exact", _betweenness_sql(1_000_000))
+def betweenness_exact(spark, sf_dir):
+    nodes_, edges = _graph(spark, sf_dir)
+    return centrality.betweenness(edges, nodes_, k=None).withColumn("L_i_topo", F.round("L_i_topo", 9))
 
 
 _WEAK = """, links AS (SELECT source AS x, target AS y FROM edges UNION ALL SELECT target, source FROM edges),
@@ -427,9 +482,10 @@ def blocking_checks(spark, sf_dir):
     return checks.run_checks(sample_feed(spark, sf_dir, dirty=True))
 
 
-@_query("v18_flow_distribution", "SELECT 'shares sum to 1' AS name, true AS ok, CAST(0 AS BIGINT) AS n_bad")
+@_query("v18_flow_distribution", _walk_sql(0.85, 200) + " SELECT 'shares sum to 1' AS name, abs(sum(x) - 1) < 1e-6 AND count(*) FILTER (x < 0) = 0 AS ok, count(*) FILTER (x < 0) AS n_bad FROM settled")
 def v18(spark, sf_dir):
-    return flow.distribution_check(flow_load(spark, sf_dir)).drop("detail")
+    nodes_, edges = _graph(spark, sf_dir)
+    return flow.distribution_check(flow.stationary_flow(edges, nodes_)).drop("detail")
 
 
 @_query("pruned_feed", ", kept AS (SELECT trip_id FROM trips WHERE route_id IN (SELECT route_id FROM dirty_routes) AND service_id IN (SELECT service_id FROM calendar)) SELECT trip_id, stop_id, stop_sequence FROM dirty_times WHERE trip_id IN (SELECT trip_id FROM kept)")

@@ -21,9 +21,12 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+def stash(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    ``level`` is that of its compression, higher for what hardly shrinks.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ def plain(df):
     return df.apply(lambda c: c.astype("float64").round(6) if c.dtype.kind in "iuf" else c.astype(str))
 
 
-@pytest.mark.parametrize("name", ["v01_orphan_stops", "v12_trips_without_stop_times", "all_edges", "degree_summary", "weight_summary", "hist_degree", "geo_clusters", "node_capacity", "components"])
+@pytest.mark.parametrize("name", ["v01_orphan_stops", "v12_trips_without_stop_times", "all_edges", "degree_summary", "weight_summary", "hist_degree", "geo_clusters", "token_sort_ratio", "crosswalk", "node_capacity", "flow_load", "betweenness", "components"])
 def test_against_sql(spark, oracle, name):
     want, got = plain(oracle.sql(catalog.ORACLES[name]).df()), plain(catalog.QUERIES[name](spark, SF).toPandas())
     columns = sorted(want.columns)
