@@ -488,4 +488,4 @@ def describe_media(media: DataFrame) -> DataFrame:
 
 
 def op5_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe_media(stash(store_media(table(spark, sf_dir, "documents")), "media"))
+    return describe_media(stash(store_media(table(spark, sf_dir, "documents")), "media", 7))
