@@ -11,25 +11,26 @@ from .graph import SERVICE
 #: Passengers in a vehicle of each agency.
 CAPACITY_PER_VEHICLE = {"CBB": 10, "CC": 80, "INTERURBANO": 719, "MB": 160, "METRO": 1300, "PUMABUS": 40, "RTP": 80, "SUB": 1130, "TL": 400, "TROLE": 90}
 
+#: What a vehicle is, where each value comes from being an assumption of the domain.
 NOTES = {
-    "CBB": "cable-car cabin",
+    "CBB": "cabin of a cable car",
     "CC": "city bus",
-    "INTERURBANO": "five-car commuter train, seated and standing",
+    "INTERURBANO": "commuter train of five cars, standing included",
     "MB": "articulated bus",
-    "METRO": "between trains of six and of nine cars",
-    "PUMABUS": "campus shuttle, an estimate: the weakest value",
+    "METRO": "between a train of six cars and one of nine",
+    "PUMABUS": "campus shuttle; estimated, the least certain",
     "RTP": "city bus",
-    "SUB": "four-car suburban train",
-    "TL": "light rail, a fleet in transition: revisit",
+    "SUB": "suburban train of four cars",
+    "TL": "light rail; its fleet is being replaced",
     "TROLE": "trolleybus",
 }
 
+#: What follows from how these operators use the values.
 CAVEATS = (
-    "Capacities are documented assumptions, not counts of passengers.",
-    "There is one value for each agency, whatever the route or hour.",
-    "The shuttle's value is an estimate without official data.",
-    "The light rail's value ends with its fleet's renewal.",
-    "Errors here carry on into node capacities and whatever uses them.",
+    "A capacity is what a vehicle holds, not how many travel in it.",
+    "Every route of an agency, and every hour, has the agency's one value.",
+    "A wrong value scales the capacity of all nodes of its agency by the same factor.",
+    "An agency without a value counts as zero, and so do its nodes.",
 )
 
 

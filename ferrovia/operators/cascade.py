@@ -78,8 +78,9 @@ def alpha_sweep(weights: DataFrame, loads: DataFrame, flow: DataFrame, seeds: Da
     so one of more than ``max_arcs`` arcs raises.
     """
     spark = weights.sparkSession
-    if weights.count() > max_arcs:
-        raise ValueError(f"cascades hold the graph in memory: at most {max_arcs} arcs")
+    for what, table in (("arcs", weights), ("loads", loads), ("shares of the flow", flow)):
+        if table.count() > max_arcs:
+            raise ValueError(f"cascades hold the graph in memory: at most {max_arcs} {what}")
     out: dict[str, dict[str, float]] = {}
     for r in weights.collect():
         out.setdefault(r["src"], {})[r["dst"]] = r["w"]

@@ -112,18 +112,19 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     edges.write.mode("overwrite").parquet(f"{path}/edges.parquet")
 
 
-def write_csv(df: DataFrame, path: str, *order: str, descending: bool = False) -> None:
-    """One file with a header, sorted; arrays are written as JSON."""
+def write_csv(df: DataFrame, path: str, *order: str, descending: bool = False, one_file: bool = True) -> None:
+    """A file with a header, sorted, or with ``one_file=False`` as many as there are partitions, in order; arrays are written as JSON."""
     flat = df.select(*(F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes))
     if order:
         first = F.col(order[0])
         flat = flat.orderBy(first.desc() if descending else first, *order[1:])
-    flat.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (flat.coalesce(1) if one_file else flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def write_geojson(markers: DataFrame, path: str) -> None:
+def write_geojson(markers: DataFrame, path: str, one_file: bool = True) -> None:
     """Map markers as GeoJSON features, one to a line; every column but the coordinates is a property."""
     rest = [c for c in markers.columns if c not in ("lat", "lon")]
     point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
     feature = F.struct(F.lit("Feature").alias("type"), point.alias("geometry"), F.struct(*rest).alias("properties"))
-    markers.select(F.to_json(feature).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    lines = markers.select(F.to_json(feature).alias("value"))
+    (lines.coalesce(1) if one_file else lines).write.mode("overwrite").text(path)

@@ -37,9 +37,31 @@ def test_feed_to_loads(spark, tmp_path, capsys):
     assert [tuple(r.values()) for r in rows(out / "transfer_matrix.csv")] == [("METRO", "0", "2"), ("RTP", "2", "0")]
     edges = spark.read.parquet(str(out / "edges.parquet"))
     assert {(r["source"], r["avg_travel_time_s"]) for r in edges.where("edge_type = 'servicio'").collect()} == {("station_0_0|METRO", 300.0), ("station_0_0|RTP", 600.0), ("station_1_0|RTP", 1200.0)}
+    assert "5 stops, 3 clusters, 3 stations" in said and "1 transfer stations" not in said and "L_i_flujo: 5 nodes" in said
     assert len(rows(out / "load_flujo.csv")) == len(rows(out / "load_topological.csv")) == 5
 
 
+def test_options(spark, tmp_path, capsys):
+    feed, out = tmp_path / "feed", tmp_path / "out"
+    feed.mkdir()
+    for name, text in TABLES.items():
+        (feed / f"{name}.txt").write_text(text)
+    (tmp_path / "capacities.csv").write_text("agency_id,capacity_per_vehicle\nMETRO,10\nRTP,1\n")
+    for stage in ("stations", "network"):
+        assert workflow.main([stage, str(feed), str(out)]) == 0
+    there = ["--nodes", str(out / "nodes.parquet"), "--edges", str(out / "edges.parquet")]
+    other = tmp_path / "other"
+    assert workflow.main(["analyze", str(feed), str(other), *there, "--figures-dir", str(other / "figures"), "--transfer-csv", str(other / "m.csv"), "--output-map", str(other / "points")]) == 0
+    assert rows(other / "figures/hist_degree.csv") and rows(other / "m.csv") and list((other / "points").glob("part-*")) and not (other / "map.geojsonl").exists()
+    capsys.readouterr()
+    assert workflow.main(["loads", str(feed), str(other), *there, "--capacities", str(tmp_path / "capacities.csv"), "--k", "0", "--damping", "0.5", "--tol", "1e-6", "--spot", "station_0_0|METRO", "nowhere"]) == 0
+    said = capsys.readouterr().out
+    assert [r["C_i"] for r in rows(other / "node_capacity.csv")] == ["200.0", "12.0", "12.0"]
+    assert "station_0_0|METRO: 200, rank 1 of 3" in said and "nowhere: unknown" in said
+    assert workflow.main(["cascades", str(feed), str(other), *there]) == 0
+    assert {(r["tipo_ataque"], r["variante_carga"]) for r in rows(other / "alpha_sweep.csv")} == {(a, b) for a in ("dirigido", "aleatorio") for b in ("flujo", "topo")}
+
+
 def test_a_bad_feed_fails(spark, tmp_path):
     for name, text in (TABLES | {"routes": "route_id,agency_id,route_type\n"}).items():
         (tmp_path / f"{name}.txt").write_text(text)
