@@ -2,15 +2,15 @@
 
 A text is cut before every single space and line feed. The pre-tokenizer of the file never
 joins characters across such a cut as long as no white space stands next to it, so the ids of
-a text are those of its chunks in turn, and a chunk is encoded once for each worker. Texts
-with runs of white space are encoded whole. Special tokens spelt out in a text get their ids, as
+a text are those of its chunks in turn. Nor does it join letters and punctuation: a chunk of
+Latin letters and punctuation after them has the ids of these two pieces, and a piece is encoded
+once for each worker, as are chunks of any other kind. Texts with runs of white space are encoded whole. Special tokens spelt out in a text get their ids, as
 the library does when it is called with ``add_special_tokens=False``; none has white space in it.
 """
 
 from __future__ import annotations
 
 import os
-import string
 from itertools import chain
 
 import numpy as np
@@ -20,13 +20,14 @@ import pyarrow.compute as pc
 from .workspace import kept
 
 END_ID = 2
-#: Chunks a worker remembers, bytes of text it splits at a time, characters of a text it encodes
+#: Pieces a worker remembers, bytes of text it splits at a time, characters of a text it encodes
 #: whole, and chunks it turns into ids at a time. They bound its memory.
-MAX_CHUNKS, SLICE_BYTES, PART_CHARS, STEP = 400_000, 8 << 20, 1_000_000, 1 << 18
+MAX_PIECES, SLICE_BYTES, PART_CHARS, STEP = 400_000, 8 << 20, 1_000_000, 1 << 18
 
 #: Marks put before the first chunk of a text, a chunk after a line feed, and the end of a text.
 FIRST, LINE, END = "\1", "\0", "\2"
-_LATIN = "ƀ"  # below: letters whose class no Unicode version has changed
+#: Letters below U+0180, whose class no Unicode version has changed, and punctuation of ASCII.
+_PLAIN = "^(?P<head>[A-Za-zªµºÀ-ÖØ-öø-ſ]+)(?P<tail>[[:punct:]]*)$"
 
 
 def default_path() -> str:
@@ -53,19 +54,22 @@ class ChunkEncoder:
         self.end_id, self.letters = end_id, _byte_letters()
         self.space, self.line = self.letters[32], self.letters[10]
         self.bpe = self.tok.model.tokenize
-        self.numbers = list(range(self.tok.get_vocab_size()))  # one object for each id
         self._forget()
 
     def _forget(self) -> None:
-        self.chunks, self.pieces = {}, {}
+        self.pieces = {"": 0}  # numbers; the empty piece has no ids
         self.first, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _piece(self, spelt: str) -> list[int]:
-        """Ids of a piece of the pre-tokenizer, spelt byte by byte."""
-        if (ids := self.pieces.get(spelt)) is None:
-            ids = self.pieces[spelt] = [self.numbers[t.id] for t in self.bpe(spelt)]
-        return ids
+    def _piece(self, piece: str) -> list[int]:
+        """Ids of a piece of the pre-tokenizer."""
+        if not piece.isascii():
+            spelt = piece.encode().decode("latin-1").translate(self.letters)
+        elif piece[0] == " ":
+            spelt = self.space + piece[1:]
+        else:
+            spelt = piece if piece != "\n" else self.line
+        return [t.id for t in self.bpe(spelt)]
 
     def _chunk(self, chunk: str) -> list[int] | None:
         """Ids of a chunk; None if its white space may run on into the next one."""
@@ -77,20 +81,25 @@ class ChunkEncoder:
         body = chunk[1:] if line else chunk
         if not body or body[-1].isspace():
             return None
-        plain = body.isascii()
-        if plain or max(body) < _LATIN:
-            head = body.rstrip(string.punctuation)
-            if head.isalpha():
-                spelt = head if plain else head.encode().decode("latin-1").translate(self.letters)
-                ids = self._piece(self.line) + self._piece(spelt) if line else self._piece(self.space + spelt)
-                return ids + self._piece(body[len(head) :]) if len(head) < len(body) else ids
         return self.tok.encode(("\n" if line else " ") + body, add_special_tokens=False).ids
 
-    def _learn(self, fresh: list[str]) -> None:
-        ids = [self._chunk(c) for c in fresh]
+    def _numbers(self, names: pa.Array, encode, mark: str = "") -> np.ndarray:
+        """The number of each piece of ``names``; those that are new get their ids from ``encode``. A length of -1 stands for None."""
+        coded = pc.dictionary_encode(names)
+        distinct = coded.dictionary.to_pylist()
+        if mark:
+            distinct = [mark + x for x in distinct]
+        numbers = list(map(self.pieces.get, distinct))
+        if None in numbers:
+            fresh = [x for x, n in zip(distinct, numbers, strict=True) if n is None]
+            self._learn(fresh, [encode(x[len(mark) :]) for x in fresh] if mark else list(map(encode, fresh)))
+            numbers = list(map(self.pieces.get, distinct))
+        return np.array(numbers, np.int64)[coded.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+
+    def _learn(self, fresh: list[str], ids: list[list[int] | None]) -> None:
         length = np.fromiter((-1 if x is None else len(x) for x in ids), np.int32, len(ids))
         size = np.maximum(length, 0)
-        n, k = int(size.sum()), len(self.chunks)
+        n, k = int(size.sum()), len(self.pieces)
         while self.used + n > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(fresh) > len(self.first):
@@ -99,7 +108,41 @@ class ChunkEncoder:
         self.first[k : k + len(fresh)] = self.used + np.cumsum(size) - size
         self.length[k : k + len(fresh)] = length
         self.used += n
-        self.chunks.update(zip(fresh, range(k, k + len(fresh))))
+        self.pieces.update(zip(fresh, range(k, k + len(fresh)), strict=True))
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct chunks end to end, where those of each start, and how many it has (-1: see :meth:`_chunk`)."""
+        line = pc.starts_with(chunks, LINE)
+        parts = pc.extract_regex(pc.utf8_ltrim(chunks, LINE), _PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        whole = np.zeros((len(chunks), 3), np.int64)  # a line feed, letters, punctuation
+        if plain.any():
+            keep = pa.array(plain)
+            after = line.filter(keep)
+            head, tail = parts.filter(keep).flatten()
+            whole[plain, 0] = self._numbers(pc.if_else(after, "\n", ""), self._piece)
+            whole[plain, 1] = self._numbers(pc.binary_join_element_wise(pc.if_else(after, "", " ").cast(head.type), head, pa.scalar("", head.type)), self._piece)
+            whole[plain, 2] = self._numbers(tail, self._piece)
+        if not plain.all():
+            whole[~plain, 1] = self._numbers(chunks.filter(pa.array(~plain)), self._chunk, "\3")
+        of_piece = self.length[whole].astype(np.int64)
+        odd = of_piece[:, 1] < 0
+        of_piece[odd] = 0
+        length = of_piece.sum(axis=1)
+        ids = self._gathered(self.first[whole].ravel(), of_piece.ravel(), self.flat)
+        return ids, np.cumsum(length) - length, np.where(odd, -1, length)
+
+    @staticmethod
+    def _gathered(first: np.ndarray, length: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """``length`` items of ``flat`` from each ``first``, end to end."""
+        out, done = np.empty(int(length.sum()), flat.dtype), 0
+        for k in range(0, len(length), STEP):
+            some = length[k : k + STEP]
+            before = np.cumsum(some) - some
+            ids = flat[np.repeat(first[k : k + STEP] - before, some) + np.arange(int(some.sum()))]
+            out[done : done + len(ids)] = ids
+            done += len(ids)
+        return out
 
     @staticmethod
     def _parts(text: str):
@@ -124,27 +167,16 @@ class ChunkEncoder:
         split = pc.split_pattern(marked, " ")
         count = np.diff(split.offsets.to_numpy())
         coded = pc.dictionary_encode(split.flatten())
-        words = coded.dictionary.to_pylist()
-        numbers = list(map(self.chunks.get, words))
-        if None in numbers:
-            self._learn([w for w, n in zip(words, numbers, strict=True) if n is None])
-            numbers = list(map(self.chunks.get, words))
-        n = np.array(numbers, np.int64)[coded.indices.to_numpy()]
-        length = self.length[n].astype(np.int64)
+        flat, first, size = self._distinct(coded.dictionary)
+        n = coded.indices.to_numpy()
+        length = size[n]
         odd = np.zeros(len(texts), bool)
         if (bad := np.flatnonzero(length < 0)).size:
             odd[np.searchsorted(np.cumsum(count), bad, "right")] = True
             length[bad] = 0
-        for mark in (FIRST, LINE, END):
+        for mark in (FIRST, LINE, END, "\3"):
             odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
-        out, first = np.empty(int(length.sum()), np.uint32), self.first[n]
-        done = 0
-        for k in range(0, len(n), STEP):
-            some = length[k : k + STEP]
-            before = np.cumsum(some) - some
-            ids = self.flat[np.repeat(first[k : k + STEP] - before, some) + np.arange(int(some.sum()))]
-            out[done : done + len(ids)] = ids
-            done += len(ids)
+        out = self._gathered(first[n], length, flat)
         to = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(count)])]
         if odd.any():
             each = [self._whole(texts[k].as_py()) if odd[k] else out[to[k] : to[k + 1]] for k in range(len(texts))]
@@ -161,7 +193,7 @@ class ChunkEncoder:
             done = size[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(size, done + slice_bytes, "right")))
             yield self._slice(texts.slice(start, stop - start))
-            if len(self.chunks) > MAX_CHUNKS or self.used > 8 * MAX_CHUNKS:
+            if len(self.pieces) > MAX_PIECES or self.used > 8 * MAX_PIECES:
                 self._forget()
             start = stop
 
