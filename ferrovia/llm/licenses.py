@@ -1,7 +1,8 @@
 """License scan: fixed phrases, and an exact set-similarity join with license templates.
 
-DataFrame functions only. A *block* is a line of a text; a block matches a template where it holds at
-least ``THRESHOLD`` of the template's distinct words. The join finds every such pair:
+DataFrame functions only. A *block* is a line of a text, or two lines that follow one another and
+have at most ``WRAPPED`` characters each, as a notice that is broken over two lines has; a block
+matches a template where it holds at least ``THRESHOLD`` of the template's distinct words. The join finds every such pair:
 
 * words are ordered by how many blocks of the corpus have them, rarest first;
 * *prefix filter*: a template of ``n`` words that needs ``o`` of them shares one of its first
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .workspace import stash, table
 
-THRESHOLD = 0.9
+THRESHOLD, WRAPPED = 0.9, 120
 
 #: Phrases and their labels: every place of one counts.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -86,14 +87,20 @@ def phrase_places(docs: DataFrame) -> DataFrame:
 
 
 def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(k1, k2, block, label, containment) of each block and template that reach the threshold."""
+    """(k1, k2, block, lines, label, containment) of each block, by its first line and their number, and template that reach the threshold."""
     spark = docs.sparkSession
     bags = [(k, label, sorted(set(words.split()))) for k, (label, words) in enumerate(templates)]
     need = {k: math.ceil(threshold * len(bag) - 1e-9) for k, _, bag in bags}
     vocabulary = sorted({w for _, _, bag in bags for w in bag})
-    lines = _keyed(docs).select("k1", "k2", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    known = F.array_intersect(_words(F.col("line")), F.array(*map(F.lit, vocabulary)))
-    blocks = stash(lines.select("k1", "k2", "block", known.alias("words")).where(F.size("words") > 0), "blocks")
+    split = F.split("text", "\n")
+    pairs = F.arrays_zip(split.alias("line"), F.slice(split, F.lit(2), F.size(split)).alias("after"))
+    lines = _keyed(docs).select("k1", "k2", F.posexplode(pairs).alias("block", "pair")).select("k1", "k2", "block", "pair.line", "pair.after")
+    known = lambda text: F.array_intersect(_words(text), F.array(*map(F.lit, vocabulary)))
+    wrapped = (F.length("line") <= WRAPPED) & (F.length("after") <= WRAPPED)
+    both = F.when(wrapped, known(F.concat_ws(" ", "line", "after")))
+    each = F.array(F.struct(F.lit(1).alias("lines"), known(F.col("line")).alias("words")), F.struct(F.lit(2).alias("lines"), both.alias("words")))
+    blocks = lines.select("k1", "k2", "block", F.explode(each).alias("x")).select("k1", "k2", "block", "x.lines", "x.words")
+    blocks = stash(blocks.where(F.size("words") > 0), "blocks")
 
     # at most one row for each word of the vocabulary
     counts = {r["word"]: r["n"] for r in blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}
@@ -109,12 +116,12 @@ def template_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLAT
 
     ranks = F.create_map(*(F.lit(x) for w, r in rank.items() for x in (w, r)))
     mine = F.array_sort(F.transform("words", lambda w: ranks[w]))
-    long_enough = blocks.where(F.size("words") >= min(need.values())).select("k1", "k2", "block", mine.alias("mine"))
-    dealt = long_enough.select("k1", "k2", "block", "mine", F.posexplode("mine").alias("block_at", "rank"))
+    long_enough = blocks.where(F.size("words") >= min(need.values())).select("k1", "k2", "block", "lines", mine.alias("mine"))
+    dealt = long_enough.select("k1", "k2", "block", "lines", "mine", F.posexplode("mine").alias("block_at", "rank"))
     left = F.least(F.col("n") - F.col("template_at"), F.size("mine") - F.col("block_at"))
     pairs = dealt.join(probe, "rank").where((F.size("mine") >= F.col("need")) & (left >= F.col("need")))
     overlap = F.size(F.array_intersect("mine", "ranks"))
-    checked = pairs.where(overlap >= F.col("need")).select("k1", "k2", "block", "template", "label", (overlap / F.col("n")).alias("containment"))
+    checked = pairs.where(overlap >= F.col("need")).select("k1", "k2", "block", "lines", "template", "label", (overlap / F.col("n")).alias("containment"))
     return checked.distinct().drop("template")
 
 
@@ -158,7 +165,9 @@ starts AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w WH
 places AS ({" UNION ALL ".join(places)}),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS ls FROM places GROUP BY doc_id),
 templates(k, label, bag, need) AS (VALUES {values}),
-blocks AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+listed AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM t),
+placed AS (SELECT doc_id, ls, unnest(range(1, len(ls))) AS i FROM listed),
+blocks AS (SELECT doc_id, unnest(ls) AS line FROM listed UNION ALL SELECT doc_id, ls[i] || ' ' || ls[i + 1] FROM placed WHERE len(ls[i]) <= {WRAPPED} AND len(ls[i + 1]) <= {WRAPPED}),
 bags AS (SELECT doc_id, {split % "line"} AS words FROM blocks),
 hits AS (SELECT doc_id, label, len(list_intersect(bag, words)) / len(bag) AS c FROM bags JOIN templates ON len(list_intersect(bag, words)) >= need),
 found AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS best FROM hits GROUP BY doc_id)

@@ -150,21 +150,36 @@ def test_licenses(spark):
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
 
 
+def test_notices_broken_over_two_lines(spark):
+    notices = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "mit": "x\nPermission is hereby granted, free of charge, to any person obtaining\na copy of this software and so on",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla\n Public License, v. 2.0.",
+        "": "Redistribution and use in source and binary forms, with or without\n\nmodification, are permitted " + "x" * 120,
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(notices.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan_licenses(docs).collect()}
+    assert [got[k] for k in range(4)] == list(notices)
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
-def test_set_join_against_all_pairs(spark, threshold):
+def test_set_join_against_all_pairs(spark, monkeypatch, threshold):
+    monkeypatch.setattr(licenses, "WRAPPED", 30)
     rng = random.Random(6)
     vocabulary = [f"w{k}" for k in range(14)]
     templates = [(f"t{k}", " ".join(rng.sample(vocabulary, rng.randrange(3, 9)))) for k in range(8)]
     docs = [(k, "\n".join(" ".join(rng.choice([*vocabulary, "other", "x"]) for _ in range(rng.randrange(12))) for _ in range(4))) for k in range(60)]
     want = set()
     for d, text in docs:
-        for b, line in enumerate(text.split("\n")):
+        split = text.split("\n")
+        blocks = [(b, 1, line) for b, line in enumerate(split)] + [(b, 2, f"{x} {y}") for b, (x, y) in enumerate(zip(split, split[1:])) if max(len(x), len(y)) <= 30]
+        for b, n, line in blocks:
             for label, words in templates:
                 bag = set(words.split())
                 if len(bag & set(line.split())) >= math.ceil(threshold * len(bag) - 1e-9):
-                    want.add((d, b, label, len(bag & set(line.split())) / len(bag)))
+                    want.add((d, b, n, label, len(bag & set(line.split())) / len(bag)))
     got = licenses.template_matches(spark.createDataFrame(docs, "doc_id long, text string"), templates, threshold)
-    assert {(r["k1"], r["block"], r["label"], r["containment"]) for r in got.collect()} == want
+    assert {(r["k1"], r["block"], r["lines"], r["label"], r["containment"]) for r in got.collect()} == want
 
 
 def mixable():
