@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import kept, table
+from .workspace import kept, release, table
 
 ORDER, PER_LANGUAGE, CALIBRATION, SLACK = 4, 2000, 0.999, 1.5
 START, STOP = "\x02", "\x03"
 #: Words a worker remembers, words that it scores and bytes of text that it splits at a time. They bound its memory.
-MAX_WORDS, SCORED, SLICE_BYTES = 300_000, 1 << 14, 4 << 20
+MAX_WORDS, SCORED, SLICE_BYTES = 100_000, 1 << 14, 4 << 20
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -226,6 +226,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 rows = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([*rows.columns, *added], [*rows.schema.names, *_ADDED])
                 start = stop
+        release()
 
     return docs.mapInArrow(run, schema)
 

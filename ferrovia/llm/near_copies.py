@@ -43,8 +43,8 @@ SHINGLE, SEED = 5, 42
 TOP, BELOW = 4, 5
 #: Bits of a fingerprint, and reference fingerprints of a family.
 BITS, PIVOTS = 2048, 16
-#: Shingles of a block; texts of a slice in a worker.
-BLOCK, SLICE = 1 << 18, 500
+#: Shingles of a block; texts of a slice in a worker, and words whose hashes it remembers.
+BLOCK, SLICE, MAX_WORDS = 1 << 18, 500, 200_000
 
 _ODD = np.random.default_rng(5).integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -81,11 +81,13 @@ def _more(n: int) -> int:
 
 
 def _slices(batches):
+    known: dict[bytes, int] = {}
     for batch in batches:
-        known: dict[bytes, int] = {}
         for k in range(0, len(batch), SLICE):
             part = batch.slice(k, SLICE)
             yield part, [shingles(t.as_py(), known) for t in part.column("text")]
+            if len(known) > MAX_WORDS:
+                known.clear()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:

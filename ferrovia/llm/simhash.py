@@ -215,8 +215,9 @@ def place_of(docs: DataFrame) -> Column:
 def one_of_each(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     """The ``row`` of the first of each group; ``rows`` is a written table (row, id), ``labelled`` has (place, root) of each."""
     labelled = stash(labelled, "labelled")
-    least = labelled.groupBy("root").agg(F.min("place").alias("least"))
-    gone = stash(labelled.join(least, "root").where("place.id <> least.id").select("place.id"), "gone")
+    # written, so that the join has exchanges of its own, whose hot groups Spark can split
+    least = stash(labelled.groupBy("root").agg(F.count("*").alias("n"), F.min("place").alias("least")).where("n > 1").select("root", "least"), "least")
+    gone = stash(labelled.join(listed(least), "root").where("place.id <> least.id").select("place.id"), "gone")
     return rows.join(listed(gone), "id", "left_anti").select("row.*")
 
 
