@@ -9,7 +9,7 @@ choice of the other blocks and no link is lost. Among those that share a choice,
 distances to reference fingerprints (pivots) discards a pair whose distances to any pivot
 differ by more than ``distance``, and an exclusive-or verifies the survivors. Pairs that are
 found only join components: a group emits the edges of a forest, never all its pairs, and a group
-of thousands is cut again by the bits that its members need not share.
+of thousands is dealt again by the bits that its members need not share.
 
 Null texts and texts without words have fingerprint zero and link like others. Repeated rows
 link as equal fingerprints do. A null ``doc_id`` takes part, and ``component_id`` is the smallest
@@ -31,8 +31,9 @@ from ..operators.components import connected_components
 from .workspace import stash, table
 
 SHINGLE, DISTANCE, SEED, PIVOTS = 4, 4, 42, 24
-#: Rows up to which a list of rows is broadcast. Groups up to SMALL are compared by shifts, those over LARGE are cut again.
-BROADCAST, SMALL, LARGE = 1 << 21, 24, 8192
+#: Rows up to which a list of rows is broadcast. Groups up to SMALL are compared by shifts, those over LARGE are cut again: DEALS times
+#: before they meet in a task, and in it.
+BROADCAST, SMALL, LARGE, DEALS = 1 << 21, 24, 8192, 2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -105,8 +106,7 @@ def forest(fp: np.ndarray, free: int, distance: int = DISTANCE) -> tuple[np.ndar
     bits = [b for b in range(64) if free >> b & 1]
     if n > LARGE and len(bits) > distance:
         out = []
-        for part in np.array_split(np.array(bits), distance + 1):  # one of the parts has no difference
-            mask = sum(1 << int(b) for b in part)
+        for mask in _free_parts(~free & ((1 << 64) - 1), distance + 1):  # one of the parts has no difference
             key = fp & np.uint64(mask)
             order = np.argsort(key, kind="stable")
             cut = np.flatnonzero(np.diff(key[order])) + 1
@@ -157,11 +157,41 @@ def _link_runs(table_no: np.ndarray, key: np.ndarray, fp: np.ndarray, masks: lis
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (fp[:0], fp[:0])
 
 
-def link_fingerprints(distinct: DataFrame, distance: int = DISTANCE, blocks: int = 6) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links."""
+def _dealt(distinct: DataFrame, distance: int, blocks: int) -> tuple[DataFrame, list[int]]:
+    """(table_no, key, fp), and the bits of each table that a key has.
+
+    A key of over LARGE fingerprints is dealt again by the bits that it leaves free: cut in ``distance + 1``
+    parts, one of them has no difference. So groups are split before they meet in a task.
+    """
     masks = _masks(distance, blocks)
-    keys: list[Column] = [F.struct(F.lit(k).alias("table_no"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)]
+    fp, table_no = F.col("fp"), F.col("table_no")
+    keys: list[Column] = [F.struct(F.lit(k).alias("table_no"), fp.bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)]
     dealt = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.table_no", "k.key", "fp")
+    first = 0
+    for _ in range(DEALS):
+        hot = stash(dealt.groupBy("table_no", "key").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("table_no", "key"), "hot")
+        if hot.isEmpty():
+            break
+        base, parts = len(masks), distance + 1
+        finer = [m | p for m in masks[first:] for p in _free_parts(m, parts)]
+        masks, start = masks + finer, first
+        bits = F.array(*(F.lit(_signed(m)) for m in finer))
+        at = [(table_no - start) * parts + p for p in range(parts)]
+        keys = [F.struct((F.lit(base) + k).cast("int").alias("table_no"), fp.bitwiseAND(F.get(bits, k)).alias("key")) for k in at]
+        again = dealt.join(hot, ["table_no", "key"], "left_semi").select("fp", F.explode(F.array(*keys)).alias("k")).select("k.table_no", "k.key", "fp")
+        dealt, first = dealt.join(hot, ["table_no", "key"], "left_anti").select("table_no", "key", "fp").union(again), base
+    return dealt, masks
+
+
+def _free_parts(mask: int, parts: int) -> list[int]:
+    """The bits outside ``mask``, cut in parts."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << int(b) for b in part) for part in np.array_split(np.array(free, np.int64), parts)]
+
+
+def link_fingerprints(distinct: DataFrame, distance: int = DISTANCE, blocks: int = 6) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` whose components are those of all links."""
+    dealt, masks = _dealt(distinct, distance, blocks)
 
     def link(batches):
         held = None

@@ -229,6 +229,30 @@ def test_near_copies_go_by_row(spark):
     assert sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept), key=str) == sorted([(0, x), (1, y), (3, ""), (None, z)], key=str)
 
 
+@pytest.mark.parametrize("large, blocks", [(8192, 6), (12, 6), (3, 8)])
+def test_groups_are_dealt_again(spark, monkeypatch, large, blocks):
+    """Fingerprints that share key bits by the hundred: the links are those of all pairs, however often they are dealt."""
+    monkeypatch.setattr(simhash, "LARGE", large)
+    rng = random.Random(blocks)
+    low = [rng.getrandbits(30) for _ in range(300)]
+    fps = sorted({near(rng, rng.choice(low) | 0xABCD << 48, rng.randrange(4)) for _ in range(500)})
+    rows = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
+    edges = simhash.link_fingerprints(spark.createDataFrame(rows, "fp long"), 4, blocks).collect()
+    at, root = {r[0]: k for k, r in enumerate(rows)}, list(range(len(fps)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in edges:
+        assert bin(fps[at[a]] ^ fps[at[b]]).count("1") <= 4
+        x, y = sorted((find(at[a]), find(at[b])))
+        root[y] = x
+    want = linked(fps)
+    assert [find(k) for k in range(len(fps))] == want and len(set(want)) < len(fps)
+
+
 def test_parity_fingerprints_never_lose_a_link():
     rng = np.random.default_rng(4)
     sets = []
